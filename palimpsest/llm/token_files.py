@@ -117,14 +117,14 @@ def simple8b_decode(words: np.ndarray) -> np.ndarray:
 
 
 _BLOCKS = "file int, block int, first long, doc_ids array<long>, lengths array<long>, n_ids long, n_words long, words binary"
+_LONGS = pa.list_(pa.int64())
+_SCHEMA = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", _LONGS), ("lengths", _LONGS), ("n_ids", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary())])
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    schema, enc = to_arrow_schema(StructType.fromDDL(_BLOCKS)), byte_bpe()
+    enc = byte_bpe()
     file, block, first = TaskContext.get().partitionId(), 0, 0
     ids, docs = [], []
 
@@ -134,7 +134,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.Re
         words = simple8b_encode(whole)
         row = {"file": file, "block": block, "first": first, "doc_ids": docs, "lengths": [len(x) for x in ids], "n_ids": len(whole), "n_words": len(words), "words": words.astype("<u8").tobytes()}
         block, first, ids, docs = block + 1, first + len(whole), [], []
-        return pa.RecordBatch.from_pylist([row], schema=schema)
+        return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
     for batch in slices(batches, "text"):
         texts = [t or "" for t in batch.column("text").to_pylist()]

@@ -16,7 +16,7 @@ import numpy as np
 from palimpsest.llm.common import tokenizer_path
 
 #: Pieces that a worker remembers; beyond that the memory is emptied and starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: A longer piece is encoded each time it occurs.
 LONGEST = 64
 
