@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.chunk_codec import op10_bpe_codec
+from palimpsest.llm.packing import op8_packing
 from palimpsest.llm.quality_rules import quality_rules
 from palimpsest.llm.token_files import op4_simple8b
 
@@ -20,6 +22,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_simple8b": op4_simple8b,
+    "op8_packing": op8_packing,
+    "op10_bpe_codec": op10_bpe_codec,
 }
 
 ORACLES: dict[str, str] = {}

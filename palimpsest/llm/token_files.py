@@ -19,7 +19,6 @@ of at most 32 bits.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,20 +187,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(base), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "ids")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("ids").to_pylist()
-        yield pa.RecordBatch.from_pydict(
-            {
-                "doc_id": batch.column("doc_id"),
-                "start": batch.column("start"),
-                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-            }
-        )
-
-
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return read_token_files(spark, path).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    ids = read_token_files(spark, path)
+    return ids.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -92,18 +92,19 @@ class PieceEncoder:
             self.known.clear()
             new = {p for c in cut if c is not None for p in c}
         new.discard("")
-        learnt = list(new)
-        got = {"": b""}
+        learnt, look = list(new), self.known
         for p, e in zip(learnt, self.tok.encode_batch_fast(learnt, add_special_tokens=False), strict=True):
-            got[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-        self.known.update((p, b) for p, b in got.items() if len(p) <= LONGEST)
-        look = self.known if len(self.known) >= len(got) and all(len(p) <= LONGEST for p in got) else {**self.known, **got}
+            look[p] = np.asarray(e.ids, dtype="<u4").tobytes()
+        look[""] = b""
         out = []
         for t, c in zip(texts, cut, strict=True):
             if c is None:
                 out.append(np.asarray(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4"))
             else:
                 out.append(np.frombuffer(b"".join([look[p] for p in c]), dtype="<u4"))
+        for p in learnt:
+            if len(p) > LONGEST:
+                del look[p]
         return out
 
 
