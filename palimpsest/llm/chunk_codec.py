@@ -83,9 +83,9 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [chunks(t) for t in texts]
-        new = list({c for x in cut for c in x} - self.known.keys())
         if self.size > CHUNK_CHARS:
-            self.known, self.size, new = {}, 0, list({c for x in cut for c in x})
+            self.known, self.size = {}, 0
+        new = [c for c in {c for x in cut for c in x} if c not in self.known]
         self.known.update(zip(new, self.pieces.encode(new), strict=True))
         self.size += sum(map(len, new))
         out = []

@@ -87,10 +87,11 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) for t in texts]
-        new = {p for c in cut if c is not None for p in c} - self.known.keys()
+        seen = {p for c in cut if c is not None for p in c}
+        new = {p for p in seen if p not in self.known}
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = {p for c in cut if c is not None for p in c}
+            new = seen
         new.discard("")
         learnt, look = list(new), self.known
         for p, e in zip(learnt, self.tok.encode_batch_fast(learnt, add_special_tokens=False), strict=True):
