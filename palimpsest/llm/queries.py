@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.chunk_codec import op10_bpe_codec
+from palimpsest.llm.discriminant import op3_quality_classifier
 from palimpsest.llm.packing import op8_packing
 from palimpsest.llm.quality_rules import quality_rules
 from palimpsest.llm.token_files import op4_simple8b
+from palimpsest.llm.warc import op1_warc
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +22,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_simple8b": op4_simple8b,
     "op8_packing": op8_packing,
     "op10_bpe_codec": op10_bpe_codec,
