@@ -12,6 +12,7 @@ from palimpsest.llm.discriminant import op3_quality_classifier
 from palimpsest.llm.packing import op8_packing
 from palimpsest.llm.quality_rules import quality_rules
 from palimpsest.llm.token_files import op4_simple8b
+from palimpsest.llm.toxicity import op5_toxicity
 from palimpsest.llm.warc import op1_warc
 
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simple8b": op4_simple8b,
+    "op5_toxicity": op5_toxicity,
     "op8_packing": op8_packing,
     "op10_bpe_codec": op10_bpe_codec,
 }
