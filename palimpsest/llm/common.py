@@ -6,8 +6,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,16 +49,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
-def group_min_back(df: DataFrame, key: str, value: Column, name: str, salts: int = 64) -> DataFrame:
-    """df with the minimum of value over all rows of the same key, as column name.
+def group_back(df: DataFrame, key: str, part: Column, whole: Callable[[Column], Column], name: str, salts: int = 64) -> DataFrame:
+    """df with an aggregate over all rows of the same key, as column name: part over
+    the rows of a (key, salt), whole over a key's parts.
 
-    No task gets a whole group: rows meet on (key, salt), minima are combined over
-    a key's salts (at most `salts` rows a key), and go back to each salt in use."""
+    No task gets a whole group: rows meet on (key, salt), at most `salts` parts of a
+    key are combined, and the value goes back to each salt in use."""
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
-    part = salted.groupBy(key, "_salt").agg(F.min(value).alias("_m"))
-    whole = part.groupBy(key).agg(F.min("_m").alias(name), F.collect_set("_salt").alias("_salts"))
-    back = whole.select(key, name, F.explode("_salts").alias("_salt"))
-    return salted.join(back, [key, "_salt"]).drop("_salt")
+    parts = salted.groupBy(key, "_salt").agg(part.alias("_m"))
+    total = parts.groupBy(key).agg(whole(F.col("_m")).alias(name), F.collect_set("_salt").alias("_salts"))
+    back = total.select(key, name, F.explode("_salts").alias("_salt"))
+    return salted.join(back.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
+def group_min_back(df: DataFrame, key: str, value: Column, name: str, salts: int = 64) -> DataFrame:
+    """group_back for the minimum of value."""
+    return group_back(df, key, F.min(value), F.min, name, salts)
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -89,6 +96,21 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     )
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node reachable over the links (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most `rows` rows and about `size` bytes of a text
     column (one row at least), so a task's Python memory stays bounded."""

@@ -76,7 +76,8 @@ def ngram_model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoo
     task). Repeated labels of a document count once; null ids join nothing. With no
     trusted document both multinomials are flat and every ratio is 0 or close."""
     good = labels.filter(F.col("quality") == 1).select("doc_id").distinct().withColumn("_good", F.lit(True))
-    grams = with_ngrams(docs.select("doc_id", "text").join(good, "doc_id", "left"))
+    # the same join at every size: neither side has a bound
+    grams = with_ngrams(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left"))
     counts = (
         grams.select("_good", F.explode(F.concat("_h1", "_h2")).alias("g"))
         .groupBy(F.pmod("g", F.lit(buckets)).alias("bucket"))
