@@ -111,3 +111,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sm
     df = df.withColumn("llr", F.when(F.size(grams) > 0, score / F.size(grams)).otherwise(F.lit(0.0)))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
     return df.select(*[c for c in docs.columns if c not in own], *own)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs, and docs' columns, that quality_rules keeps.
+
+    The row number keeps the optimizer from moving the test below the columns it is
+    made of, which would write their expressions out many times over."""
+    ruled = quality_rules(docs, labels, **options).withColumn("_row", F.monotonically_increasing_id())
+    return ruled.filter("kept and _row >= 0").select(*docs.columns)

@@ -12,6 +12,7 @@ from palimpsest.llm.discriminant import op3_quality_classifier
 from palimpsest.llm.embedding_dedup import op6_embedding_dedup
 from palimpsest.llm.jaccard_join import op9_ngram_jaccard_join
 from palimpsest.llm.packing import op8_packing
+from palimpsest.llm.personal_data import op7_skip_chain_pii
 from palimpsest.llm.quality_rules import quality_rules
 from palimpsest.llm.token_files import op4_simple8b
 from palimpsest.llm.toxicity import op5_toxicity
@@ -31,6 +32,7 @@ QUERIES = {
     "op4_simple8b": op4_simple8b,
     "op5_toxicity": op5_toxicity,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_skip_chain_pii": op7_skip_chain_pii,
     "op8_packing": op8_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_bpe_codec": op10_bpe_codec,
