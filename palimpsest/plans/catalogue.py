@@ -1,4 +1,4 @@
 """All registered reference-shaped queries and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from palimpsest.plans import events, evidence, retrieval, streams  # noqa: F401  they register
+from palimpsest.plans.registry import ORACLES, QUERIES  # noqa: F401
