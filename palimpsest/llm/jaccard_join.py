@@ -108,12 +108,6 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, rar
         )
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
-        sets = [shingle_set(t, k).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_pydict({"g": b.column("g"), "rep": b.column("rep"), "shingles": pa.array(sets, pa.binary())})
-
-
 def _overlap_bound(sets: list[np.ndarray], union: np.ndarray, num: int, den: int) -> list[int]:
     """Which sets have enough in common with the union of a group to link with a member."""
     return [i for i, s in enumerate(sets) if den * np.count_nonzero(union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s) >= num * len(s)]
@@ -150,12 +144,12 @@ def open_groups(one: list[np.ndarray], two: list[np.ndarray] | None, num: int, d
     return (i[i < j], j[i < j]) if same else (i, j)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(batch.num_rows):
-            r = batch.slice(k, 1).to_pylist()[0]
+        for row in range(batch.num_rows):
+            r = batch.slice(row, 1).to_pylist()[0]
             members = [*r["members"]] + ([] if r["members2"] is None else [*r["members2"]])
-            sets = [np.frombuffer(m["shingles"], dtype=np.uint64) for m in members]
+            sets = [shingle_set(m["text"], k) for m in members]
             cut = len(r["members"])
             i, j = open_groups(sets[:cut], None if r["members2"] is None else sets[cut:], num, den)
             if r["members2"] is not None:
@@ -184,26 +178,30 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     rows = stage(every.mapInArrow(lambda it: _prefixes(it, k, num, den, rarity), "doc_id long, n_shingles long, sig binary, prefix array<long>"), "prefixes")
     alive = rows.filter("doc_id is not null and sig is not null")
     owned = stage(group_min_back(alive.select("doc_id", "n_shingles", "sig"), "sig", F.col("doc_id"), "rep").select("doc_id", "n_shingles", "rep", (F.col("doc_id") == F.col("rep")).alias("first")), "owned")
-    classes = alive.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")).drop("sig")
-    sized = group_back(classes.withColumn("key", F.col("prefix")[0]), "key", F.count("*"), F.sum, "members")
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / GROUP))
-    grouped = stage(sized.select("rep", "prefix", F.xxhash64("key", part).alias("g")), "groups")
-    # the matrix: a row for each shingle and group, for shingles of two groups or more
-    matrix = grouped.select(F.explode("prefix").alias("shingle"), "g").distinct()
-    shared = stage(matrix.groupBy("shingle").agg(F.collect_set("g").alias("gs")).filter(F.size("gs") > 1), "matrix")
-    one = shared.select("gs", F.explode("gs").alias("g1"))
-    cross = one.select("g1", F.explode("gs").alias("g2")).filter("g1 < g2").distinct()
+    # sets of the wanted similarity lie in the same band of sizes or in the next
+    band = F.floor(F.log("n_shingles") / F.lit(float(np.log(den / num)))).cast("int")
+    classes = stage(alive.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first(band).alias("band"), F.first("prefix").alias("prefix")).drop("sig").withColumn("key", F.col("prefix")[0]), "classes")
+    large = stage(classes.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > GROUP), "large")
+    sized = classes.join(large.hint("merge"), "key", "left")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("members", F.lit(1)) / GROUP))
+    grouped = stage(sized.select("rep", "band", "prefix", F.xxhash64("key", part).alias("g")), "groups")
+    # the matrix: for each shingle of two groups or more, the groups and bands it occurs in
+    cells = grouped.select(F.explode("prefix").alias("shingle"), F.struct("g", "band").alias("cell"))
+    shared = stage(cells.groupBy("shingle").agg(F.collect_set("cell").alias("cells")).filter(F.size(F.array_distinct("cells.g")) > 1).select("cells"), "matrix")
+    one = shared.select("cells", F.explode("cells").alias("c1"))
+    two = one.select("c1", F.explode("cells").alias("c2")).filter("c1.g < c2.g and abs(c1.band - c2.band) <= 1")
+    cross = two.select(F.col("c1.g").alias("g1"), F.col("c2.g").alias("g2")).distinct()
     inner = grouped.groupBy("g").count().filter("count > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     pairs = stage(cross.unionByName(inner), "pairs")
     needed = pairs.select(F.col("g1").alias("g")).unionByName(pairs.select(F.col("g2").alias("g"))).distinct()
     wanted = grouped.join(needed.hint("merge"), "g", "left_semi").select(F.col("rep").alias("doc_id"), "g")
-    texts = every.join(wanted.hint("merge"), "doc_id").select("g", F.col("doc_id").alias("rep"), "text")
-    sets = texts.mapInArrow(lambda it: _whole_sets(it, k), "g long, rep long, shingles binary")
-    groups = stage(sets.groupBy("g").agg(F.collect_list(F.struct("rep", "shingles")).alias("members")), "opened")
-    left = pairs.join(groups.select(F.col("g").alias("g1"), "members").hint("merge"), "g1")
-    crossed = left.filter("g1 != g2").join(groups.select(F.col("g").alias("g2"), F.col("members").alias("members2")).hint("merge"), "g2").select("members", "members2")
-    alone = left.filter("g1 = g2").select("members", F.lit(None).cast(groups.schema["members"].dataType).alias("members2"))
-    links = stage(crossed.unionByName(alone).mapInArrow(lambda it: _compare(it, num, den), "a long, b long"), "links")
+    texts = every.join(wanted.hint("merge"), "doc_id")
+    # whole texts travel, not sets: a text packs into half the bytes of its shingles
+    groups = stage(texts.groupBy("g").agg(F.collect_list(F.struct(F.col("doc_id").alias("rep"), "text")).alias("members")), "opened")
+    crossed = pairs.filter("g1 != g2").join(groups.select(F.col("g").alias("g1"), "members").hint("merge"), "g1")
+    crossed = crossed.join(groups.select(F.col("g").alias("g2"), F.col("members").alias("members2")).hint("merge"), "g2").select("members", "members2")
+    alone = groups.filter(F.size("members") > 1).select("members", F.lit(None).cast(groups.schema["members"].dataType).alias("members2"))
+    links = stage(crossed.unionByName(alone).mapInArrow(lambda it: _compare(it, k, num, den), "a long, b long"), "links")
     found = stage(connected_components(links), "components")
     joined = owned.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     out = joined.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
