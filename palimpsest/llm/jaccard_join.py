@@ -13,10 +13,12 @@ A pair of groups returns a spanning forest of its links, never the pairs.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from palimpsest.llm.common import connected_components, group_back, group_min_ba
 
 #: Buckets of the shingle counts: bounds what is collected and broadcast at one byte each.
 SKETCH = 1 << 20
+#: Slices of the sketch that tasks send, and cells of a set's profile.
+SLICES, CELLS = 64, 256
 #: Classes of a group, about.
 GROUP = 256
 #: Words whose hashes a worker remembers.
@@ -68,46 +72,74 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def _count_buckets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SKETCH, dtype=np.int64)
+    from pyspark import TaskContext
+
+    total = np.zeros(SKETCH, dtype="<i8")
     for b in slices(batches, "text"):
         sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
         total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-    at = np.flatnonzero(total)
-    for i in range(0, len(at), 100_000):
-        part = at[i : i + 100_000]
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(part, pa.int32()), "n": pa.array(total[part], pa.int64())})
+    parts = total.reshape(SLICES, -1)
+    some = TaskContext.get().partitionId() // 256  # so many tasks meet before all do
+    yield pa.RecordBatch.from_pydict({"part": pa.array(range(SLICES), pa.int32()), "some": pa.array([some] * SLICES, pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
+
+
+def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(x), dtype="<i8") for x in pdf["counts"])
+    return pd.DataFrame({"part": pdf["part"].iloc[:1], "some": pdf["some"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def _rarity(docs: DataFrame, k: int) -> np.ndarray:
-    """Log2 of the number of (document, shingle) in each bucket, one byte each."""
-    counts = docs.select("text").mapInArrow(lambda it: _count_buckets(it, k), "bucket int, n long")
-    rows = counts.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.floor(F.log2("n")).cast("int").alias("c")).toArrow()
-    out = np.zeros(SKETCH, dtype=np.uint8)
-    out[rows.column("bucket").to_numpy()] = rows.column("c").to_numpy()
-    return out
+    """Log2 of the number of (document, shingle) in each bucket, one byte each. Tasks
+    send their counts in packed slices; a slice is summed over some tasks, then all."""
+    schema = "part int, some int, counts binary"
+    counts = docs.select("text").mapInArrow(lambda it: _count_buckets(it, k), schema)
+    counts = counts.groupBy("part", "some").applyInPandas(_add_up, schema).groupBy("part").applyInPandas(_add_up, schema)
+    out = np.zeros((SLICES, SKETCH // SLICES), dtype=np.uint8)
+    for r in counts.collect():  # SKETCH counts in all, whatever the input
+        out[r["part"]] = np.log2(np.frombuffer(zlib.decompress(r["counts"]), dtype="<i8") + 1).astype(np.uint8)
+    return out.ravel()
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, rarity) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for b in slices(batches, "text"):
-        n, sig, firsts = [], [], []
+        n, sig, firsts, profiles = [], [], [], []
         for t in b.column("text").to_pylist():
             s = shingle_set(t, k)
             n.append(len(s))
             sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            cells = np.bincount((s >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
+            profiles.append(cells.astype("<u4").tobytes() if cells.max() > 255 else cells.astype("u1").tobytes())
             share = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
             order = np.lexsort((s, rarity.value[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:share]
             firsts.append(s[order].view(np.int64))
         ends = np.concatenate(([0], np.cumsum([len(f) for f in firsts]))).astype(np.int32)
         yield pa.RecordBatch.from_pydict(
             {
-                "doc_id": b.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()),
+                "doc_id": b.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "profile": pa.array(profiles, pa.binary()),
                 "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts]))),
             }
         )
 
 
+def _profile(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="u1" if len(raw) == CELLS else "<u4").astype(np.int64)
+
+
+def _qualify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Group pairs in which a set of each side may reach a member of the other: by the
+    shingles per cell, a set has no more in common with a group's union than the sum
+    over the cells of the smaller of its count and the group's largest."""
+    for batch in batches:
+        keep = []
+        for row in range(batch.num_rows):
+            one, two = ([_profile(m) for m in batch.column(c)[row].as_py()] for c in ("profiles", "profiles2"))
+            reach = lambda sets, union: any(den * np.minimum(x, union).sum() >= num * x.sum() for x in sets)
+            keep.append(reach(one, np.max(two, axis=0)) and reach(two, np.max(one, axis=0)))
+        yield pa.RecordBatch.from_arrays([batch.column("g1"), batch.column("g2")], names=["g1", "g2"]).filter(pa.array(keep))
+
+
 def _overlap_bound(sets: list[np.ndarray], union: np.ndarray, num: int, den: int) -> list[int]:
     """Which sets have enough in common with the union of a group to link with a member."""
     return [i for i, s in enumerate(sets) if den * np.count_nonzero(union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s) >= num * len(s)]
@@ -175,16 +207,16 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     spark = docs.sparkSession
     every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rarity = spark.sparkContext.broadcast(_rarity(every, k))
-    rows = stage(every.mapInArrow(lambda it: _prefixes(it, k, num, den, rarity), "doc_id long, n_shingles long, sig binary, prefix array<long>"), "prefixes")
+    rows = stage(every.mapInArrow(lambda it: _prefixes(it, k, num, den, rarity), "doc_id long, n_shingles long, sig binary, profile binary, prefix array<long>"), "prefixes")
     alive = rows.filter("doc_id is not null and sig is not null")
     owned = stage(group_min_back(alive.select("doc_id", "n_shingles", "sig"), "sig", F.col("doc_id"), "rep").select("doc_id", "n_shingles", "rep", (F.col("doc_id") == F.col("rep")).alias("first")), "owned")
     # sets of the wanted similarity lie in the same band of sizes or in the next
     band = F.floor(F.log("n_shingles") / F.lit(float(np.log(den / num)))).cast("int")
-    classes = stage(alive.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first(band).alias("band"), F.first("prefix").alias("prefix")).drop("sig").withColumn("key", F.col("prefix")[0]), "classes")
-    large = stage(classes.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > GROUP), "large")
+    classes = alive.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first(band).alias("band"), F.first("profile").alias("profile"), F.first("prefix").alias("prefix")).drop("sig").withColumn("key", F.col("prefix")[0])
+    large = stage(alive.groupBy(F.col("prefix")[0].alias("key")).agg(F.count("*").alias("members")).filter(F.col("members") > GROUP), "large")
     sized = classes.join(large.hint("merge"), "key", "left")
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("members", F.lit(1)) / GROUP))
-    grouped = stage(sized.select("rep", "band", "prefix", F.xxhash64("key", part).alias("g")), "groups")
+    grouped = stage(sized.select("rep", "band", "profile", "prefix", F.xxhash64("key", part).alias("g")), "groups")
     # the matrix: for each shingle of two groups or more, the groups and bands it occurs in
     cells = grouped.select(F.explode("prefix").alias("shingle"), F.struct("g", "band").alias("cell"))
     shared = stage(cells.groupBy("shingle").agg(F.collect_set("cell").alias("cells")).filter(F.size(F.array_distinct("cells.g")) > 1).select("cells"), "matrix")
@@ -192,7 +224,12 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     two = one.select("c1", F.explode("cells").alias("c2")).filter("c1.g < c2.g and abs(c1.band - c2.band) <= 1")
     cross = two.select(F.col("c1.g").alias("g1"), F.col("c2.g").alias("g2")).distinct()
     inner = grouped.groupBy("g").count().filter("count > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    pairs = stage(cross.unionByName(inner), "pairs")
+    cross = stage(cross, "candidates")
+    met = cross.select(F.col("g1").alias("g")).unionByName(cross.select(F.col("g2").alias("g"))).distinct()
+    unions = stage(grouped.select("g", "profile").join(met.hint("merge"), "g", "left_semi").groupBy("g").agg(F.collect_list("profile").alias("profiles")), "unions")
+    bounded = cross.join(unions.withColumnRenamed("g", "g1").hint("merge"), "g1").join(unions.select(F.col("g").alias("g2"), F.col("profiles").alias("profiles2")).hint("merge"), "g2")
+    qualified = bounded.select("g1", "g2", "profiles", "profiles2").mapInArrow(lambda it: _qualify(it, num, den), "g1 long, g2 long")
+    pairs = stage(qualified.unionByName(inner), "pairs")
     needed = pairs.select(F.col("g1").alias("g")).unionByName(pairs.select(F.col("g2").alias("g"))).distinct()
     wanted = grouped.join(needed.hint("merge"), "g", "left_semi").select(F.col("rep").alias("doc_id"), "g")
     texts = every.join(wanted.hint("merge"), "doc_id")
