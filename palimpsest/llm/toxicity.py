@@ -74,7 +74,7 @@ class Linear:
         x[:, len(self.names) : -1] = earlier
         x[:, -1] = 1
         w = np.zeros(x.shape[1])
-        w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+        w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)) if y.any() else -20.0  # no positive label: never
         if self.names:
             penalty = np.full(len(w), ridge * n)
             penalty[-1] = 0
