@@ -1,11 +1,9 @@
 """Every query with an oracle equals DuckDB on the smallest tables."""
 
 import glob
-import math
 import os
 
 import duckdb
-import pandas as pd
 import pytest
 
 from palimpsest.plans.catalogue import ORACLES, QUERIES
@@ -21,18 +19,15 @@ def con():
     return c
 
 
-def rows(df: pd.DataFrame) -> list:
-    def plain(v):
-        if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
-            return ""
-        return round(float(v), 6) if isinstance(v, float) else str(v)
-
-    df = df[sorted(df.columns)].astype(object)
-    return sorted((tuple(map(plain, r)) for r in df.values.tolist()), key=str)
+def rows(names: list[str], values: list) -> list:
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    plain = lambda v: "" if v is None else round(v, 6) if isinstance(v, float) else str(v)
+    return sorted((tuple(plain(r[i]) for i in order) for r in values), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, con, name):
-    ours, oracle = QUERIES[name](spark, DATA).toPandas(), con.execute(ORACLES[name]).df()
-    assert sorted(ours.columns) == sorted(oracle.columns)
-    assert rows(ours) == rows(oracle)
+    ours, oracle = QUERIES[name](spark, DATA), con.execute(ORACLES[name])
+    names = [d[0] for d in oracle.description]
+    assert sorted(ours.columns) == sorted(names)
+    assert rows(ours.columns, ours.collect()) == rows(names, oracle.fetchall())
