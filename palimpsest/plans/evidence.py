@@ -64,12 +64,12 @@ sql("plan_vs_archive", """SELECT coalesce(c_custkey, o_custkey) AS custkey, CASE
 FROM {customer} FULL OUTER JOIN (SELECT DISTINCT o_custkey FROM {orders}) o ON c_custkey = o_custkey""")
 sql("set_equality", """WITH a AS (SELECT c_custkey AS k FROM {customer}), b AS (SELECT DISTINCT o_custkey AS k FROM {orders})
 SELECT (SELECT count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) x) AS only_plan, (SELECT count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a) y) AS only_archive""")
-sql("run_accounting", """WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey, l_suppkey) AS from_last FROM {lineitem})
+sql("run_accounting", """WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS from_last FROM {lineitem})
 SELECT o_orderkey, count(l_orderkey) AS physical, CAST(coalesce(sum(CASE WHEN from_last = 1 THEN l_quantity END), 0) AS BIGINT) AS accepted_tokens,
  CAST(coalesce(sum(CASE WHEN from_last > 1 THEN l_quantity END), 0) AS BIGINT) AS retry_tokens, count(l_orderkey) > 1 AS retried, greatest(count(l_orderkey), 1) AS attempts
 FROM {orders} LEFT JOIN a ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
-_LINES = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn,
- coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failed_before FROM {lineitem}) """
+_LINES = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS rn,
+ coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failed_before FROM {lineitem}) """
 sql("prefix_until_failure", _LINES + "SELECT l_orderkey, count(*) AS executed, count(*) FILTER (WHERE l_returnflag = 'R') AS failures FROM a WHERE failed_before = 0 GROUP BY l_orderkey")
 sql("contiguous_index", _LINES + "SELECT l_orderkey, bool_and(rn = l_linenumber) AS contiguous, CAST(max(l_linenumber) AS BIGINT) AS last_index FROM a GROUP BY l_orderkey")
 sql("cell_balance", "SELECT coalesce(l_returnflag, '*') AS returnflag, coalesce(l_linestatus, '*') AS linestatus, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())")
@@ -101,5 +101,5 @@ sql("distractor_roles", """WITH b AS (SELECT n_nationkey, n_regionkey, min(s_sup
 SELECT a.n_regionkey, min(a.s) AS target, count(*) AS triples FROM b a JOIN b x ON a.n_regionkey = x.n_regionkey AND a.s <> x.s JOIN b y ON a.n_regionkey = y.n_regionkey AND y.s <> a.s AND y.s <> x.s GROUP BY 1""")
 sql("rotation_allocation", "SELECT n_nationkey, (n_nationkey + r_regionkey) % 5 AS slot, n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey")
 sql("failure_taxonomy", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice < 1000 THEN 'TRANSPORT' WHEN o_orderstatus = 'F' THEN 'TERMINAL' WHEN o_orderpriority LIKE '1%' THEN 'ROUTING' WHEN o_totalprice > 300000 THEN 'ACCOUNTING' ELSE 'NONE' END AS failure FROM {orders}""")
-sql("unit_decision", """WITH a AS (SELECT l_orderkey, count(*) AS n, max_by(l_returnflag, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey) AS last, bool_or(l_returnflag = 'A') AS passed FROM {lineitem} GROUP BY l_orderkey)
+sql("unit_decision", """WITH a AS (SELECT l_orderkey, count(*) AS n, substr(max(lpad(CAST(l_linenumber AS VARCHAR(10)), 6, '0') || l_returnflag), 7, 1) AS last, bool_or(l_returnflag = 'A') AS passed FROM {lineitem} GROUP BY l_orderkey)
 SELECT l_orderkey, CASE WHEN passed THEN 'ACCEPT' WHEN last = 'R' AND n < 3 THEN 'RETRY' WHEN n >= 3 THEN 'STOP' ELSE 'NEXT' END AS decision FROM a""")
