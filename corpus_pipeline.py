@@ -51,7 +51,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: No SQL states the trained stages; tests hold run() against a brute-force version.
+#: No SQL states the trained stages.
 ORACLE_SQL = None
 
 
