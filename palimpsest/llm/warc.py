@@ -67,7 +67,8 @@ def write_warc(pages: DataFrame, path: str, compression: str = "gzip") -> None:
 def _reached(pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidates of one file that the chain from offset 0 reaches, by pointer jumping:
     in each round the reached set takes in what its pointers lead to, and each pointer
-    is replaced by its pointer's pointer."""
+    is replaced by its pointer's pointer. `owner` is the last reached offset at or
+    before a candidate; `split` says that the owner is no complete stretch by itself."""
     pdf = pdf.sort_values("offset", ignore_index=True)
     at, n = pdf["offset"].to_numpy(), len(pdf)
     where = np.searchsorted(at, pdf["successor"].to_numpy())
@@ -81,8 +82,10 @@ def _reached(pdf: pd.DataFrame) -> pd.DataFrame:
         if (grown == reached).all() and (jump == n).all():
             break
         reached, jump = grown, jump[jump]
-    pdf["real"] = reached[:n]
-    return pdf[["file", "offset", "real"]]
+    last = np.maximum.accumulate(np.where(reached[:n], np.arange(n), -1))
+    pdf["real"], pdf["owner"] = reached[:n], np.where(last < 0, -1, at[last])
+    pdf["split"] = (last >= 0) & ~pdf["whole"].to_numpy()[last]
+    return pdf[["file", "offset", "real", "owner", "split"]]
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -127,16 +130,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     given up to the file's end, like a file that does not begin with a record; an
     empty folder of archives gives no rows."""
     pieces = _pieces(spark, path)
-    links = pieces.select("file", "offset", (F.col("offset") + F.col("need")).alias("successor")).fillna(-1, ["successor"])
-    real = links.groupBy("file").applyInPandas(_reached, "file string, offset long, real boolean")
-    df = pieces.join(real, ["file", "offset"])
+    links = pieces.select("file", "offset", "whole", (F.col("offset") + F.col("need")).alias("successor")).fillna(-1, ["successor"])
+    real = links.groupBy("file").applyInPandas(_reached, "file string, offset long, real boolean, owner long, split boolean")
     out = ["file", "offset", "warc_type", "record_id", "target_uri", "refers_to", "stated_digest", "http_head", "payload", "payload_digest", "payload_octets"]
-    whole = df.filter("real and whole").select(*out)
-    # records whose payload holds version lines: their stretches, in order, up to their length
-    order = Window.partitionBy("file").orderBy("offset")
-    split = df.withColumn("owner", F.last(F.when(F.col("real"), F.struct("offset", "need", "whole")), ignorenulls=True).over(order)).filter("not owner.whole")
+    whole = pieces.filter("whole").join(real.filter("real").select("file", "offset"), ["file", "offset"]).select(*out)
+    # records whose payload holds version lines: their stretches, in order, up to their
+    # length. A file's few split offsets meet its stretches by file alone, so that the
+    # texts, which lie by file already, are not shuffled again
+    marks = real.filter("split").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("offset", "owner"))).alias("owners"))
+    split = pieces.join(marks.hint("merge"), "file").withColumn("start", F.try_element_at("owners", F.col("offset"))).filter("start is not null")
     same = [c for c in out[2:7]]
-    joined = split.groupBy("file", F.col("owner.offset").alias("start"), F.col("owner.need").alias("need")).agg(
+    joined = split.groupBy("file", "start").agg(
+        F.max(F.when(F.col("offset") == F.col("start"), F.col("need"))).alias("need"),
         F.array_sort(F.collect_list(F.struct("offset", F.coalesce("parts", F.concat("head", F.lit(RECORD_END), "block", F.lit(RECORD_END))).alias("text")))).alias("all"),
         *[F.min_by(c, "offset").alias(c) for c in same],
     )
