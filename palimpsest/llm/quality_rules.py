@@ -1,25 +1,33 @@
-"""Quality rules: hashed n-gram log-likelihood ratio (built-in functions only).
-
-Words and word pairs are hashed into a fixed number of buckets. Two multinomials
-over the buckets are counted on all documents: the raw corpus, and the trusted
-target (documents whose label says quality 1). A document's score is the mean over
-its n-grams of log p_target - log p_raw; it is kept when the score reaches a fixed
-threshold and the base rules hold. Everything is deterministic.
+"""Quality rules: n-gram log-likelihood ratio (built-in functions only).
+
+Words and word pairs are counted by their 64-bit hashes, one bucket each, on all
+documents: in the raw corpus, and in the trusted target (documents whose label says
+quality 1). A document's own n-grams are taken out of both counts before it is scored.
+Its score is the mean over its n-grams of log (target count + 1) / (expected target
+count + 1), where the expected count is the n-gram's raw count at the target's share;
+an n-gram that no other document has counts 0. A document is kept when its score
+reaches the cut and the base rules hold; the cut is the score that all but a fixed share
+of the trusted documents reach. Everything is deterministic.
+
+The counts grow with the input, so they meet the documents in a shuffle by n-gram. Only
+frequent n-grams, at most SLOTS by a sample, are counted and looked up in one array: no
+task gets all rows of a very common word. The route has no part in the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import words
+from palimpsest.llm.common import stage, words
 
-#: Hash buckets of the multinomials: bounds the model at 65,536 rows.
-BUCKETS = 1 << 16
-#: Added to each bucket's count, in pseudo-counts.
+#: Slots of the array of frequent n-grams, documents of the sample that finds them,
+#: and the share of these that a frequent n-gram is in.
+SLOTS, SAMPLE, FREQUENT = 1 << 16, 8000, 1 / 500
+#: Added to an n-gram's target count and to its expected one.
 SMOOTHING = 1.0
-#: Mean log ratio that a kept document reaches.
-THRESHOLD = -0.2
+#: Share of the trusted documents (of 20 words on) below the cut.
+LOST = 0.02
 
 
 def _pairs(h: Column, step: int) -> Column:
@@ -69,48 +77,100 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def ngram_model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
-    """One row, one array of `buckets` log ratios, from all documents.
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs with _n (number of n-grams) and _d (its distinct ones: hash g, count n)."""
+    df = with_ngrams(docs).withColumn("_g", F.sort_array(F.concat("_h1", "_h2")))
+    df = df.withColumn("_n", F.size("_g").cast("bigint"))
+    first = lambda x, i: F.when((i == 0) | (x != F.get(F.col("_g"), i - 1)), i)
+    df = df.withColumn("_at", F.filter(F.transform("_g", first), lambda i: i.isNotNull()))
+    then = F.slice("_at", F.lit(2), F.greatest(F.size("_at") - 1, F.lit(0)))
+    run = lambda i, j: F.struct(F.get(F.col("_g"), i).alias("g"), (F.coalesce(j, F.size("_g")) - i).cast("bigint").alias("n"))
+    return df.withColumn("_d", F.zip_with("_at", then, run))
+
+
+def _key() -> Column:
+    """Key of a row: rows of one key are equal and so are their scores."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _frequent(docs: DataFrame, slots: int) -> DataFrame:
+    """One row, one array of the most frequent sampled n-gram of each slot, or null."""
+    n = docs.count()
+    least = max(2.0, min(n, SAMPLE) * FREQUENT)
+    sample = docs.filter(F.pmod(F.xxhash64(_key()), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))))
+    grams = _counted(sample).select(F.explode_outer("_d.g").alias("g")).groupBy("g").agg(F.count("*").alias("c")).filter(F.col("g").isNotNull() & (F.col("c") >= least))
+    top = grams.groupBy(F.pmod("g", F.lit(slots)).alias("slot")).agg(F.max(F.struct("c", "g"))["g"].alias("g"))
+    return _array(top, slots, F.col("g")).select("a")
+
+
+def _array(rows: DataFrame, slots: int, value: Column) -> DataFrame:
+    """One row: a, the values of the rows by slot."""
+    every = rows.sparkSession.range(slots).withColumnRenamed("id", "slot").join(rows, "slot", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", value.alias("v")))), lambda x: x["v"]).alias("a"))
+
+
+def ngram_scores(docs: DataFrame, labels: DataFrame, slots: int = SLOTS, smoothing: float = SMOOTHING) -> DataFrame:
+    """_key, llr, _n and _good of each distinct row of docs (doc_id, text).
 
-    Counts are summed in each task before the shuffle (at most `buckets` rows a
-    task). Repeated labels of a document count once; null ids join nothing. With no
-    trusted document both multinomials are flat and every ratio is 0 or close."""
-    good = labels.filter(F.col("quality") == 1).select("doc_id").distinct().withColumn("_good", F.lit(True))
+    Repeated labels of a document count once; null ids join nothing. Without a trusted
+    document every score is 0."""
+    good = labels.filter(F.col("quality") == 1).select("doc_id").distinct().withColumn("_t", F.lit(1))
     # the same join at every size: neither side has a bound
-    grams = with_ngrams(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left"))
-    counts = (
-        grams.select("_good", F.explode(F.concat("_h1", "_h2")).alias("g"))
-        .groupBy(F.pmod("g", F.lit(buckets)).alias("bucket"))
-        .agg(F.count("*").alias("raw"), F.count("_good").alias("target"))
-    )
-    every = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
-    total = every.select(
-        F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("raw", F.lit(0)).alias("r"), F.coalesce("target", F.lit(0)).alias("t")))).alias("a"),
-        F.coalesce(F.sum("raw"), F.lit(0)).alias("nr"), F.coalesce(F.sum("target"), F.lit(0)).alias("nt"),
-    )
-    ratio = lambda x: (
-        F.log((x["t"] + smoothing) / (F.col("nt") + smoothing * buckets)) - F.log((x["r"] + smoothing) / (F.col("nr") + smoothing * buckets))
-    )
-    # without a trusted document there is nothing to hold documents against
-    return total.select(F.transform("a", lambda x: F.when(F.col("nt") == 0, F.lit(0.0)).otherwise(ratio(x))).alias("llr"))
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
+    df = _counted(marked).withColumn("_t", F.coalesce("_t", F.lit(0)).cast("bigint")).withColumn("_key", _key())
+    frequent = stage(_frequent(docs.select("doc_id", "text"), slots), "frequent").scalar()
+    slot = lambda x: F.pmod(x["g"], F.lit(slots)).cast("int")
+
+    # counts of the frequent n-grams; of all n-grams under the null hash
+    every = F.array(F.struct(F.lit(None).cast("bigint").alias("g"), F.col("_n").alias("n")))
+    # the array is named once, so that no row carries it; inline_outer, since the other
+    # would be given a filter that writes all expressions out again
+    often = F.filter("_d", lambda x: F.coalesce(F.get(F.col("_f"), slot(x)) == x["g"], F.lit(False)))
+    chosen = df.withColumn("_f", frequent).select("_t", F.concat(often, every).alias("_o"))
+    counts = chosen.select("_t", F.inline_outer("_o")).groupBy("g").agg(F.sum("n").alias("r"), F.sum(F.col("n") * F.col("_t")).alias("t"))
+    counts = counts.withColumn("slot", F.coalesce(F.pmod("g", F.lit(slots)), F.lit(slots)))
+    model = _array(counts, slots + 1, F.struct("g", "r", "t")).scalar()
+    total = lambda c: F.coalesce(F.get(model, F.lit(slots))[c], F.lit(0))
+
+    share = (total("t") - F.col("_n") * F.col("_t")) / (total("r") - F.col("_n"))  # null where there is no other document
+    df = df.withColumn("_share", F.coalesce(share, F.lit(0.0)))
+
+    def ratio(n: Column, r: Column, t: Column) -> Column:
+        return n * F.log((t - n * F.col("_t") + smoothing) / ((r - n) * F.col("_share") + smoothing))
+
+    looked = F.transform("_d", lambda x: F.struct(x["g"].alias("g"), x["n"].alias("n"), F.get(F.col("_m"), slot(x)).alias("m")))
+    df = df.withColumn("_m", model).select("_key", "_t", "_share", "_n", looked.alias("_d"))
+    known = lambda x: F.coalesce(x["m"]["g"] == x["g"], F.lit(False))
+    score = F.aggregate("_d", F.lit(0.0), lambda acc, x: acc + F.when(known(x), ratio(x["n"], x["m"]["r"], x["m"]["t"])).otherwise(F.lit(0.0)))
+    # a row's sum over frequent n-grams travels with the others, as one more row
+    own = F.array(F.struct(F.col("_key").alias("g"), F.col("_n").alias("n"), score.alias("s")))
+    rest = F.transform(F.filter("_d", lambda x: ~known(x)), lambda x: F.struct(x["g"].alias("g"), x["n"].alias("n"), F.lit(None).cast("double").alias("s")))
+    rows = df.select("_key", "_t", "_share", F.concat(rest, own).alias("_o")).select("_key", "_t", "_share", F.inline_outer("_o"))
+    gram = Window.partitionBy("g")
+    n = F.when(F.col("s").isNull(), F.col("n"))
+    rows = rows.withColumn("_r", F.sum(n).over(gram)).withColumn("_tt", F.sum(n * F.col("_t")).over(gram))
+    part = F.coalesce("s", ratio(F.col("n"), F.col("_r"), F.col("_tt")))
+    # copies of a row add to both sums alike
+    sums = rows.groupBy("_key").agg(F.sum(part).alias("_sum"), F.sum(F.when(F.col("s").isNotNull(), F.col("n"))).alias("_all"), F.count("s").alias("_rows"), F.max("_t").alias("_good"))
+    llr = F.when(F.col("_all") > 0, F.col("_sum") / F.col("_all")).otherwise(F.lit(0.0))
+    return sums.select("_key", llr.alias("llr"), (F.col("_all") / F.col("_rows")).alias("_n"), "_good")
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, slots: int = SLOTS, smoothing: float = SMOOTHING, lost: float = LOST) -> DataFrame:
     """docs' columns with the base columns, llr (mean log ratio per n-gram, 0 where
     there is none) and kept.
 
     Nulls: a null text counts as empty (failed, not kept). Repeated rows each get
     their own row. Columns of docs with a result's name are replaced."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    model = ngram_model(docs, labels, buckets, smoothing)
-    df = base_rules(docs.drop(*own))
-    # the model is one array of fixed length, read once and sent with the plan
-    df = df.withColumn("_m", model.scalar())
-    grams = F.concat("_h1", "_h2")
-    score = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(F.col("_m"), F.pmod(g, F.lit(buckets)).cast("int")))
-    df = df.withColumn("llr", F.when(F.size(grams) > 0, score / F.size(grams)).otherwise(F.lit(0.0)))
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
-    return df.select(*[c for c in docs.columns if c not in own], *own)
+    scores = stage(ngram_scores(docs, labels, slots, smoothing), "scores")
+    trusted = scores.filter((F.col("_good") == 1) & (F.col("_n") >= 39))
+    # a document without evidence has 0 and is kept
+    cut = trusted.agg(F.least(F.coalesce(F.percentile_approx("llr", lost, 10_000), F.lit(0.0)), F.lit(0.0))).scalar()
+    df = base_rules(docs.drop(*own)).withColumn("_key", _key())
+    df = df.select(*[c for c in docs.columns if c not in own], *own[:-2], "_key")
+    df = df.join(scores.select("_key", "llr").hint("merge"), "_key", "left")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= cut)).select(*[c for c in docs.columns if c not in own], *own)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

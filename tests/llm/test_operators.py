@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -42,6 +43,25 @@ def test_quality_rules(docs, labels, empty):
     assert quality_rules.quality_rules(docs, labels.limit(0)).count() == len(TEXTS) + 2
 
 
+def test_quality_scores_are_leave_one_out(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") if i % 3 else f"w{rng.randrange(30)}" for i in range(rng.randint(20, 60))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (70, None)]
+    marks = [(i, int(i % 2 == 0), 0) for i in range(60)]
+    grams = [Counter(w) + Counter(zip(w, w[1:])) for w in ((t or "").split() for _, t in rows)]
+    trusted = [i is not None and i < 60 and i % 2 == 0 for i, _ in rows]
+    raw, target = sum(grams, Counter()), sum((g for g, t in zip(grams, trusted) if t), Counter())
+    want = {}
+    for (i, _), g, t in zip(rows, grams, trusted):
+        n = sum(g.values())
+        share = (target.total() - n * t) / (raw.total() - n)
+        want[i] = sum(c * np.log((target[k] - c * t + 1) / ((raw[k] - c) * share + 1)) for k, c in g.items()) / max(n, 1)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for slots in (1, 64, 1 << 12):
+        got = quality_rules.quality_rules(frame, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), slots=slots).collect()
+        assert len(got) == len(rows) and all(abs(r.llr - want[r.doc_id]) < 1e-9 for r in got)
+
+
 def test_toxicity(docs, labels, empty):
     assert toxicity.score(docs, labels).count() == len(TEXTS) + 2
     assert toxicity.score(docs, labels.limit(0)).filter("rejected").count() == 0
