@@ -7,7 +7,9 @@ logistic model has the earlier categories' probabilities among its inputs, and i
 training those are out-of-fold predictions, so it learns from honest probabilities.
 
 The models are fitted on a bounded sample of labelled rows and then applied to every
-whole text.
+whole text. The sample may hold more toxic documents than the labels do; each row is
+weighed back to its class's share of all labelled documents, so that probabilities, and
+the cut, mean the same at every size.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ SEEDS = {
     "contempt": ("stupid", "pathetic", "worthless", "disgusting"),
 }
 CATEGORIES = (*SEEDS, "toxic")
-#: Labelled rows that the models are fitted on, at most (those of the smallest id hashes).
+#: Labelled texts that the models are fitted on, at most (those of the smallest hashes).
 SAMPLE = 6000
 #: Folds of the out-of-fold predictions.
 FOLDS = 3
@@ -64,7 +66,7 @@ class Linear:
     """Logistic regression on chosen features and earlier probabilities; ridge penalty,
     fitted by damped Newton steps. One class alone gives that class's rate."""
 
-    def __init__(self, docs: list[set[str]], earlier: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 1e-4):
+    def __init__(self, docs: list[set[str]], earlier: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 25, ridge: float = 1e-4):
         self.names = choose(docs, y) if 0 < y.sum() < len(y) else []
         self.index = {f: k for k, f in enumerate(self.names)}
         n, extra = len(y), earlier.shape[1]
@@ -74,14 +76,14 @@ class Linear:
         x[:, len(self.names) : -1] = earlier
         x[:, -1] = 1
         w = np.zeros(x.shape[1])
-        w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)) if y.any() else -20.0  # no positive label: never
+        w[-1] = np.log((weight @ y + 0.5) / (weight @ ~y + 0.5)) if y.any() else -20.0  # no positive label: never
         if self.names:
             penalty = np.full(len(w), ridge * n)
             penalty[-1] = 0
             for _ in range(steps):
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                bend = x.T @ (x * np.maximum(p * (1 - p), 1e-6)[:, None]) + np.diag(penalty + 1e-9)
-                move = np.linalg.solve(bend, x.T @ (y - p) - penalty * w)
+                bend = x.T @ (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]) + np.diag(penalty + 1e-9)
+                move = np.linalg.solve(bend, x.T @ (weight * (y - p)) - penalty * w)
                 w = w + move * min(1.0, 4 / max(np.abs(move).max(), 1e-12))
                 if np.abs(move).max() < 1e-4:
                     break
@@ -95,21 +97,22 @@ class Linear:
 class Chain:
     """One Linear per category, in order."""
 
-    def __init__(self, docs: list[set[str]], toxic: np.ndarray):
+    def __init__(self, docs: list[set[str]], toxic: np.ndarray, weight: np.ndarray):
+        """weight: how many labelled documents each one stands for, 1 on average."""
         self.models: list[Linear] = []
         fold = np.arange(len(docs)) % FOLDS
         earlier = np.zeros((len(docs), 0))
         for name in CATEGORIES:
             seeds = set(SEEDS.get(name, ()))
             y = np.array([bool(t) and (not seeds or bool(seeds & d)) for t, d in zip(toxic, docs, strict=True)], dtype=bool)
-            self.models.append(Linear(docs, earlier, y))
+            self.models.append(Linear(docs, earlier, y, weight))
             if name == CATEGORIES[-1]:
                 break
             out = np.zeros(len(docs))
             for k in range(FOLDS):
                 inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
                 if len(outside):
-                    part = Linear([docs[i] for i in inside], earlier[inside], y[inside])
+                    part = Linear([docs[i] for i in inside], earlier[inside], y[inside], weight[inside])
                     out[outside] = part.probabilities([docs[i] for i in outside], earlier[outside])
             earlier = np.column_stack((earlier, out))
 
@@ -120,17 +123,39 @@ class Chain:
         return done
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """From at most `sample` labelled rows: half of them toxic where there are as many,
-    each half those of the smallest hashes of doc_id. Needs no label at all: without any,
-    nothing is toxic."""
+    """From at most `sample` labelled texts: half of them toxic where there are as many.
+    Each half holds distinct texts, dealt by language (where docs has it) in proportion,
+    those of the smallest hashes; the classes are weighed back to their numbers among all
+    labelled documents. Needs no label at all: without any, nothing is toxic."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    half = lambda t: known.filter(F.col("toxic") == t).orderBy(*order).limit(sample // 2)
-    chosen = half(1).unionByName(half(0))  # at most `sample` rows: broadcast to the texts
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    lang = F.col("lang") if "lang" in docs.columns else F.lit("")
+    # texts stay behind: their hashes and languages meet the labels
+    keys = docs.select("doc_id", F.xxhash64("text").alias("_text"), lang.alias("_lang")).join(known.hint("merge"), "doc_id")
+    # (a repeated id counts once; a text is toxic if one of its documents is)
+    texts = keys.groupBy("doc_id").agg(F.min(F.struct("_text", "_lang")).alias("k"), F.max("toxic").alias("toxic"))
+    texts = texts.groupBy("k._text").agg(F.max("toxic").alias("toxic"), F.min("k._lang").alias("_lang"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    found = {(r["toxic"], r["_lang"]): (r["texts"], r["n"]) for r in texts.groupBy("toxic", "_lang").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).collect()}
+    number = {t: sum(n for (c, _), (_, n) in found.items() if c == t) for t in (0, 1)}
+    parts = []
+    for t in (0, 1):
+        size = sum(k for (c, _), (k, _) in found.items() if c == t)
+        for (c, name), (k, _) in sorted(found.items(), key=str):
+            if c == t:
+                most = k if size <= sample // 2 else max(1, k * (sample // 2) // size)
+                parts.append(texts.filter((F.col("toxic") == t) & F.col("_lang").eqNullSafe(F.lit(name))).orderBy(F.xxhash64("_text"), "_text").limit(most).select("doc_id", "_text", "toxic"))
+    if not parts:
+        return Chain([], np.zeros(0, dtype=bool), np.zeros(0))
+    chosen = parts[0]
+    for p in parts[1:]:
+        chosen = chosen.unionByName(p)
+    # at most `sample` rows, and one a language: broadcast to the texts
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(F.broadcast(chosen), ["doc_id", "_text"]).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     shared: dict[str, str] = {}  # one string per distinct feature, not one per document
-    found = [{shared.setdefault(f, f) for f in features(r["text"] or "")} for r in rows]
-    return Chain(found, np.array([r["toxic"] for r in rows], dtype=bool))
+    sets = [{shared.setdefault(f, f) for f in features(r["text"] or "")} for r in rows]
+    toxic = np.array([r["toxic"] for r in rows], dtype=bool)
+    each = {t: number[t] / max(int((toxic == bool(t)).sum()), 1) for t in (0, 1)}
+    weight = np.where(toxic, each[1], each[0])
+    return Chain(sets, toxic, weight / weight.mean())
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs' columns with p_<category> for each category, and rejected.
@@ -154,5 +179,5 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     return docs.mapInArrow(run, schema).withColumn("rejected", F.col("p_toxic") >= CUT)
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text", "lang")

@@ -68,6 +68,17 @@ def test_toxicity(docs, labels, empty):
     assert toxicity.score(empty, labels).count() == 0
 
 
+def test_toxic_share_of_the_sample_does_not_move_probabilities(spark):
+    # no word tells the classes apart: each probability is the labels' share, 1 in 10
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices("abcdefghijkl", k=8)) + f" n{i}", "x" if i % 3 else "y") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    for sample in (80, 6000):
+        got = [r.p_toxic for r in toxicity.score(frame, marks, sample).collect()]
+        assert abs(np.mean(got) - 0.1) < 0.02
+
+
 def test_discriminant(docs, labels, empty):
     rows = discriminant.score_documents(docs, labels).collect()
     assert len(rows) == len(TEXTS) + 2 and all(0 <= r.score <= 1 for r in rows)
