@@ -1,33 +1,39 @@
-"""Quality rules: n-gram log-likelihood ratio (built-in functions only).
-
-Words and word pairs are counted by their 64-bit hashes, one bucket each, on all
-documents: in the raw corpus, and in the trusted target (documents whose label says
-quality 1). A document's own n-grams are taken out of both counts before it is scored.
-Its score is the mean over its n-grams of log (target count + 1) / (expected target
-count + 1), where the expected count is the n-gram's raw count at the target's share;
-an n-gram that no other document has counts 0. A document is kept when its score
-reaches the cut and the base rules hold; the cut is the score that all but a fixed share
-of the trusted documents reach. Everything is deterministic.
-
-The counts grow with the input, so they meet the documents in a shuffle by n-gram. Only
-frequent n-grams, at most SLOTS by a sample, are counted and looked up in one array: no
-task gets all rows of a very common word. The route has no part in the result.
+"""Quality rules: hashed n-gram log-likelihood ratio (built-in functions only).
+
+Words and word pairs of all documents are hashed into buckets and counted twice: in the
+raw corpus, and in the trusted target (documents whose label says quality 1). A
+document's score is the mean over its n-grams of log (target count + 1) / (expected
+target count + 1), where the expected count is the bucket's raw count at the target's
+share; each n-gram is taken out of the counts that it is held against. A document is
+kept when its score reaches the cut and the base rules hold; the cut is the score that
+all but a fixed share of the trusted documents reach, so it means the same at every
+size. Everything is deterministic.
+
+The number of buckets grows with the corpus, as GROWTH times the cube root of the number
+of its n-grams: 2^18 for 0.1 GB, 2^24 (128 MB of counts) for 100 TB. The counts go to the
+tasks as two arrays, so no document's n-grams are shuffled: only each task's own sums are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import stage, words
 
-#: Slots of the array of frequent n-grams, documents of the sample that finds them,
-#: and the share of these that a frequent n-gram is in.
-SLOTS, SAMPLE, FREQUENT = 1 << 16, 8000, 1 / 500
+#: Buckets for each cube root of the number of n-grams; rounded up to a power of two.
+GROWTH = 256
 #: Added to an n-gram's target count and to its expected one.
 SMOOTHING = 1.0
 #: Share of the trusted documents (of 20 words on) below the cut.
 LOST = 0.02
+#: Bits of the filter that spares most untrusted texts the join with the labels (2 MB);
+#: a fuller filter spares fewer, with the same result.
+FILTER_BITS = 1 << 24
+#: Values of an array that meet in one row before the rows meet.
+SLICE = 4096
+#: Result columns.
+OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
 def _pairs(h: Column, step: int) -> Column:
@@ -48,24 +54,23 @@ def _covered(df: DataFrame) -> DataFrame:
 
     A window's hash is built by doubling (1, 2, 4, 8 words); only texts in which a
     window repeats are sorted."""
-    df = df.withColumn("_h8", _pairs(_pairs(F.col("_h2"), 2), 4))
+    df = df.withColumn("_h4", _pairs(F.col("_h2"), 2))
+    df = df.withColumn("_h8", _pairs(F.col("_h4"), 4))
     df = df.withColumn("_rep", F.size("_h8") != F.size(F.array_distinct("_h8")))
-    by_hash = F.when(F.col("_rep"), F.array_sort(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    by_hash = F.when(F.col("_rep"), F.sort_array(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     df = df.withColumn("_s", by_hash)
     equal = lambda j, k: F.coalesce(F.get(F.col("_s"), j)["h"] == F.get(F.col("_s"), k)["h"], F.lit(False))
     df = df.withColumn("_p", F.filter("_s", lambda x, j: equal(j, j - 1) | equal(j, j + 1)))
-    df = df.withColumn("_p", F.array_sort(F.transform("_p", lambda x: x["i"])))
+    df = df.withColumn("_p", F.sort_array(F.transform("_p", lambda x: x["i"])))
     gaps = F.zip_with(F.col("_p"), F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0))), lambda a, b: F.least(F.lit(8), F.coalesce(b - a, F.lit(8))))
     total = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda acc, g: acc + g)
     return df.withColumn("n_repeat_words", F.when(F.col("_rep"), total).otherwise(F.lit(0).cast("bigint")))
 
 
-def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)
-    and base_failed. A null or empty text has zeros and fails. Helper columns start
-    with an underscore and are kept for the score."""
-    full = F.coalesce(F.col(text), F.lit(""))
-    df = with_ngrams(docs, text)
+def _base(df: DataFrame) -> DataFrame:
+    """df (with text, and no other column of these names) with the base columns."""
+    full = F.coalesce(F.col("text"), F.lit(""))
+    df = with_ngrams(df)
     lines = F.filter(F.split(full, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.withColumn("_lines", lines)
     df = df.withColumn("n_words", F.size("_w").cast("bigint"))
@@ -77,106 +82,118 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """docs with _n (number of n-grams) and _d (its distinct ones: hash g, count n)."""
-    df = with_ngrams(docs).withColumn("_g", F.sort_array(F.concat("_h1", "_h2")))
-    df = df.withColumn("_n", F.size("_g").cast("bigint"))
-    first = lambda x, i: F.when((i == 0) | (x != F.get(F.col("_g"), i - 1)), i)
-    df = df.withColumn("_at", F.filter(F.transform("_g", first), lambda i: i.isNotNull()))
-    then = F.slice("_at", F.lit(2), F.greatest(F.size("_at") - 1, F.lit(0)))
-    run = lambda i, j: F.struct(F.get(F.col("_g"), i).alias("g"), (F.coalesce(j, F.size("_g")) - i).cast("bigint").alias("n"))
-    return df.withColumn("_d", F.zip_with("_at", then, run))
-
-
-def _key() -> Column:
-    """Key of a row: rows of one key are equal and so are their scores."""
-    return F.xxhash64("doc_id", "text")
-
-
-def _frequent(docs: DataFrame, slots: int) -> DataFrame:
-    """One row, one array of the most frequent sampled n-gram of each slot, or null."""
-    n = docs.count()
-    least = max(2.0, min(n, SAMPLE) * FREQUENT)
-    sample = docs.filter(F.pmod(F.xxhash64(_key()), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))))
-    grams = _counted(sample).select(F.explode_outer("_d.g").alias("g")).groupBy("g").agg(F.count("*").alias("c")).filter(F.col("g").isNotNull() & (F.col("c") >= least))
-    top = grams.groupBy(F.pmod("g", F.lit(slots)).alias("slot")).agg(F.max(F.struct("c", "g"))["g"].alias("g"))
-    return _array(top, slots, F.col("g")).select("a")
-
-
-def _array(rows: DataFrame, slots: int, value: Column) -> DataFrame:
-    """One row: a, the values of the rows by slot."""
-    every = rows.sparkSession.range(slots).withColumnRenamed("id", "slot").join(rows, "slot", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", value.alias("v")))), lambda x: x["v"]).alias("a"))
-
-
-def ngram_scores(docs: DataFrame, labels: DataFrame, slots: int = SLOTS, smoothing: float = SMOOTHING) -> DataFrame:
-    """_key, llr, _n and _good of each distinct row of docs (doc_id, text).
-
-    Repeated labels of a document count once; null ids join nothing. Without a trusted
-    document every score is 0."""
-    good = labels.filter(F.col("quality") == 1).select("doc_id").distinct().withColumn("_t", F.lit(1))
-    # the same join at every size: neither side has a bound
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
-    df = _counted(marked).withColumn("_t", F.coalesce("_t", F.lit(0)).cast("bigint")).withColumn("_key", _key())
-    frequent = stage(_frequent(docs.select("doc_id", "text"), slots), "frequent").scalar()
-    slot = lambda x: F.pmod(x["g"], F.lit(slots)).cast("int")
-
-    # counts of the frequent n-grams; of all n-grams under the null hash
-    every = F.array(F.struct(F.lit(None).cast("bigint").alias("g"), F.col("_n").alias("n")))
-    # the array is named once, so that no row carries it; inline_outer, since the other
-    # would be given a filter that writes all expressions out again
-    often = F.filter("_d", lambda x: F.coalesce(F.get(F.col("_f"), slot(x)) == x["g"], F.lit(False)))
-    chosen = df.withColumn("_f", frequent).select("_t", F.concat(often, every).alias("_o"))
-    counts = chosen.select("_t", F.inline_outer("_o")).groupBy("g").agg(F.sum("n").alias("r"), F.sum(F.col("n") * F.col("_t")).alias("t"))
-    counts = counts.withColumn("slot", F.coalesce(F.pmod("g", F.lit(slots)), F.lit(slots)))
-    model = _array(counts, slots + 1, F.struct("g", "r", "t")).scalar()
-    total = lambda c: F.coalesce(F.get(model, F.lit(slots))[c], F.lit(0))
-
-    share = (total("t") - F.col("_n") * F.col("_t")) / (total("r") - F.col("_n"))  # null where there is no other document
-    df = df.withColumn("_share", F.coalesce(share, F.lit(0.0)))
-
-    def ratio(n: Column, r: Column, t: Column) -> Column:
-        return n * F.log((t - n * F.col("_t") + smoothing) / ((r - n) * F.col("_share") + smoothing))
-
-    looked = F.transform("_d", lambda x: F.struct(x["g"].alias("g"), x["n"].alias("n"), F.get(F.col("_m"), slot(x)).alias("m")))
-    df = df.withColumn("_m", model).select("_key", "_t", "_share", "_n", looked.alias("_d"))
-    known = lambda x: F.coalesce(x["m"]["g"] == x["g"], F.lit(False))
-    score = F.aggregate("_d", F.lit(0.0), lambda acc, x: acc + F.when(known(x), ratio(x["n"], x["m"]["r"], x["m"]["t"])).otherwise(F.lit(0.0)))
-    # a row's sum over frequent n-grams travels with the others, as one more row
-    own = F.array(F.struct(F.col("_key").alias("g"), F.col("_n").alias("n"), score.alias("s")))
-    rest = F.transform(F.filter("_d", lambda x: ~known(x)), lambda x: F.struct(x["g"].alias("g"), x["n"].alias("n"), F.lit(None).cast("double").alias("s")))
-    rows = df.select("_key", "_t", "_share", F.concat(rest, own).alias("_o")).select("_key", "_t", "_share", F.inline_outer("_o"))
-    gram = Window.partitionBy("g")
-    n = F.when(F.col("s").isNull(), F.col("n"))
-    rows = rows.withColumn("_r", F.sum(n).over(gram)).withColumn("_tt", F.sum(n * F.col("_t")).over(gram))
-    part = F.coalesce("s", ratio(F.col("n"), F.col("_r"), F.col("_tt")))
-    # copies of a row add to both sums alike
-    sums = rows.groupBy("_key").agg(F.sum(part).alias("_sum"), F.sum(F.when(F.col("s").isNotNull(), F.col("n"))).alias("_all"), F.count("s").alias("_rows"), F.max("_t").alias("_good"))
-    llr = F.when(F.col("_all") > 0, F.col("_sum") / F.col("_all")).otherwise(F.lit(0.0))
-    return sums.select("_key", llr.alias("llr"), (F.col("_all") / F.col("_rows")).alias("_n"), "_good")
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, slots: int = SLOTS, smoothing: float = SMOOTHING, lost: float = LOST) -> DataFrame:
-    """docs' columns with the base columns, llr (mean log ratio per n-gram, 0 where
-    there is none) and kept.
-
-    Nulls: a null text counts as empty (failed, not kept). Repeated rows each get
-    their own row. Columns of docs with a result's name are replaced."""
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    scores = stage(ngram_scores(docs, labels, slots, smoothing), "scores")
-    trusted = scores.filter((F.col("_good") == 1) & (F.col("_n") >= 39))
+def base_rules(docs: DataFrame) -> DataFrame:
+    """docs' columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
+    (long) and base_failed.
+
+    A null or empty text has zeros and fails; repeated rows each keep their row; columns
+    of docs with a result's name are replaced, all others, whatever their names, stay; an
+    empty table gives no rows; a very long text is one row, counted whole."""
+    kept = [c for c in docs.columns if c not in OWN[:6]]
+    df = _base(docs.select(F.struct(*kept).alias("row"), "text"))
+    return df.select("row.*", *OWN[:6])
+
+
+def _dense(rows: DataFrame, size: int, *values: str) -> DataFrame:
+    """One row of one array a value, by slot 0 to size - 1; 0 where rows has no such slot."""
+    zero = rows.sparkSession.range(size).select(F.col("id").alias("slot"), *[F.lit(0).cast(rows.schema[v].dataType).alias(v) for v in values])
+    every = rows.unionByName(zero).groupBy("slot").agg(*[F.sum(v).alias(v) for v in values])
+    field = lambda v: lambda x: x[v]
+    part = F.array_sort(F.collect_list(F.struct("slot", *values)))
+    parts = every.groupBy((F.col("slot") / SLICE).cast("bigint").alias("part")).agg(*[F.transform(part, field(v)).alias(v) for v in values])
+    whole = F.array_sort(F.collect_list(F.struct("part", *values)))
+    return parts.agg(*[F.flatten(F.transform(whole, field(v))).alias(v) for v in values])
+
+
+def _perhaps(ids: DataFrame) -> Column:
+    """Whether doc_id may be among ids: true for all that are, and for few others."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    marks = ids.select((bit / 64).cast("bigint").alias("slot"), (bit % 64).cast("int").alias("at")).distinct()
+    # each bit once: their sum is their union
+    one = F.expr("shiftleft(1L, at)")
+    filled = stage(_dense(marks.select("slot", one.alias("bits")), FILTER_BITS // 64, "bits"), "filter")
+    held = F.get(filled.select("bits").scalar(), (bit / 64).cast("int"))
+    return F.coalesce(F.getbit(held, (bit % 64).cast("int")) == 1, F.lit(False))
+
+
+def buckets_for(n: int) -> int:
+    """Number of buckets for a corpus of n n-grams."""
+    return 1 << max(10, (int(GROWTH * max(n, 1) ** (1 / 3)) - 1).bit_length())
+
+
+def ngram_model(docs: DataFrame, good: DataFrame, perhaps: Column, buckets: int, smoothing: float = SMOOTHING) -> DataFrame:
+    """One row: log ratios by bucket, held against an n-gram of a trusted document (inside)
+    and of any other (outside). docs: doc_id, text; good: distinct doc_ids of the trusted
+    target; perhaps: true for these at least."""
+    trusted = docs.filter(perhaps).join(good.hint("merge"), "doc_id", "left_semi")
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        # outer, since the other would be given a filter that writes all expressions out again
+        grams = with_ngrams(df.select("text")).select(F.explode_outer(F.concat("_h1", "_h2")).alias("h"))
+        slots = grams.select(F.pmod("h", F.lit(buckets)).alias("slot")).filter("slot is not null")
+        return slots.groupBy("slot").agg(F.count("*").alias(name))
+
+    zero = F.lit(0).cast("bigint")
+    both = counted(docs, "raw").withColumn("target", zero).unionByName(counted(trusted, "target").withColumn("raw", zero))
+    total = lambda c: F.aggregate(c, zero, lambda a, x: a + x)
+    counts = _dense(both, buckets, "raw", "target").withColumn("n_raw", total("raw")).withColumn("n_target", total("target"))
+    other = lambda n: F.greatest(n - 1, zero)
+
+    def ratios(own: bool) -> Column:
+        share = F.when(F.col("n_raw") > 1, (other(F.col("n_target")) if own else F.col("n_target")) / other(F.col("n_raw"))).otherwise(F.lit(0.0))
+        return F.zip_with("raw", "target", lambda r, t: F.log(((other(t) if own else t) + smoothing) / (other(r) * share + smoothing)).cast("float"))
+
+    return stage(counts.select(ratios(True).alias("inside"), ratios(False).alias("outside")), "model")
+
+
+def _scored(df: DataFrame, model: DataFrame, perhaps: Column, buckets: int) -> DataFrame:
+    """df (with _h1 and _h2) with its scores, _in as a trusted document (null where it
+    cannot be one) and _out as any other.
+
+    Each array is named once, so that it is looked up where it lies and no row carries it."""
+    n = F.size("_h1") + F.size("_h2")
+
+    def mean(array: str) -> Column:
+        total = F.aggregate(F.concat("_h1", "_h2"), F.lit(0.0), lambda acc, h: acc + F.get(F.col(array), F.pmod(h, F.lit(buckets)).cast("int")).cast("double"))
+        return F.when(n > 0, total / n).otherwise(F.lit(0.0))
+
+    df = df.withColumn("_outside", model.select("outside").scalar()).withColumn("_out", mean("_outside")).drop("_outside")
+    df = df.withColumn("_perhaps", perhaps)
+    return df.withColumn("_inside", model.select("inside").scalar()).withColumn("_in", F.when(F.col("_perhaps"), mean("_inside"))).drop("_inside")
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int | None = None, smoothing: float = SMOOTHING, lost: float = LOST, text: bool = True) -> DataFrame:
+    """docs' columns (without text if so asked) with the base columns, llr (mean log
+    ratio per n-gram, 0 where there is none) and kept.
+
+    Nulls: a null text counts as empty (failed, not kept), a null id is not trusted and
+    nor is one whose label is null. A label that repeats counts once. Repeated rows each
+    get their own row, and are each other's evidence. Without a trusted document the cut is
+    0 and every score is 0 or above it. A score that equals the cut is kept. Columns of docs
+    with a result's name are replaced, all others, whatever their names, stay. An empty
+    table gives no rows. A very long text is one row, scored whole."""
+    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    plain = docs.select("doc_id", "text")
+    if buckets is None:
+        # words and pairs are about two for each run of white space
+        words_about = F.char_length(F.col("text")) - F.char_length(F.translate("text", " \n\t", "")) + 1
+        buckets = buckets_for(2 * (plain.agg(F.sum(words_about.cast("bigint"))).first()[0] or 0))
+    perhaps = _perhaps(good)
+    model = ngram_model(plain, good, perhaps, buckets, smoothing)
+    carried = [c for c in docs.columns if c not in OWN and (text or c != "text")]
+    df = _scored(_base(docs.select(F.struct(*carried).alias("row"), "doc_id", "text")), model, perhaps, buckets)
+    df = df.select("row", "doc_id", *OWN[:6], "_out", "_in")
+    df = df.join(good.withColumn("_good", F.lit(1)).hint("merge"), "doc_id", "left")
+    evidence = F.when(F.col("_good") == 1, F.col("_in")).otherwise(F.col("_out"))
+    scored = stage(df.select("row", *OWN[:6], "_good", evidence.alias("llr")), "scores")
+    trusted = scored.filter((F.col("_good") == 1) & (F.col("n_words") >= 20))
     # a document without evidence has 0 and is kept
     cut = trusted.agg(F.least(F.coalesce(F.percentile_approx("llr", lost, 10_000), F.lit(0.0)), F.lit(0.0))).scalar()
-    df = base_rules(docs.drop(*own)).withColumn("_key", _key())
-    df = df.select(*[c for c in docs.columns if c not in own], *own[:-2], "_key")
-    df = df.join(scores.select("_key", "llr").hint("merge"), "_key", "left")
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= cut)).select(*[c for c in docs.columns if c not in own], *own)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= cut)).select("row.*", *OWN)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs, and docs' columns, that quality_rules keeps.
-
-    The row number keeps the optimizer from moving the test below the columns it is
-    made of, which would write their expressions out many times over."""
-    ruled = quality_rules(docs, labels, **options).withColumn("_row", F.monotonically_increasing_id())
-    return ruled.filter("kept and _row >= 0").select(*docs.columns)
+    """The rows of docs, and docs' columns, that quality_rules keeps (see there; columns
+    that have a result's name keep docs' values)."""
+    renamed = docs.select("doc_id", "text", F.struct("*").alias("whole"))
+    return quality_rules(renamed, labels, text=False, **options).filter("kept").select("whole.*")

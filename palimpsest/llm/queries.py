@@ -20,9 +20,9 @@ from palimpsest.llm.warc import op1_warc
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns, llr and kept of each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs, labels).drop("text")
+    return quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), text=False)
 
 
 QUERIES = {
