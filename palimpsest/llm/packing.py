@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import slices
-from palimpsest.llm.tokens import word_bpe
+from palimpsest.llm.tokens import with_end, word_bpe
 
 #: Tokens of a window.
 CAPACITY = 2048
 #: Remainders gathered before they are packed: bounds a task's memory at this many
 #: remainders of less than CAPACITY ids.
 POOL = 8192
+#: Windows that are sent on at once.
+WINDOWS = 2048
 
 
 class Piece(NamedTuple):
@@ -145,20 +147,23 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], end_id: int, capacity: in
         kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _PIECES.split(", ")])
 
-    for batch in slices(batches, "text"):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        whole = []
-        for doc, got in zip(batch.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
-            ids = np.append(got, np.uint32(end_id)).astype("<u4")
-            full = len(ids) // capacity * capacity
-            whole += [[Piece(doc, at, ids[at : at + capacity], len(ids))] for at in range(0, full, capacity)]
-            if full < len(ids):
-                pool.append(Piece(doc, full, ids[full:], len(ids)))
+    for batch in slices(batches, "text", rows=4096):
+        ids, counts = with_end(*enc.encode_column(batch.column("text")), end_id)
+        ends, whole = np.cumsum(counts).tolist(), []
+        for doc, n, end in zip(batch.column("doc_id").to_pylist(), counts.tolist(), ends, strict=True):
+            full, first = n // capacity * capacity, end - n
+            whole += [[Piece(doc, at, ids[first + at : first + at + capacity], n)] for at in range(0, full, capacity)]
+            if full < n:  # a copy: a view would keep all of the batch's ids
+                pool.append(Piece(doc, full, ids[first + full : end].copy(), n))
+            if len(whole) >= WINDOWS:
+                yield rows(whole)
+                whole = []
         if whole:
             yield rows(whole)
         if len(pool) >= POOL:
             windows, pool = pack(pool, capacity)
-            yield rows(windows)
+            for at in range(0, len(windows), WINDOWS):
+                yield rows(windows[at : at + WINDOWS])
     windows, rest = pack(pool, capacity)
     yield rows(windows + cut_at_powers(rest))
 
@@ -167,8 +172,10 @@ def pack_documents(docs: DataFrame, end_id: int = 1, capacity: int = CAPACITY) -
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset. No shuffle.
 
-    A null or empty text is the end id alone; repeated rows are packed each; other
-    columns are ignored; an empty table gives no rows."""
+    A null or empty text is the end id alone; a null doc_id stays null; repeated rows
+    are packed each; other columns are ignored; an empty table gives no rows. A very
+    long text is encoded whole: a task holds its ids, four bytes each, and sends its
+    full windows on, WINDOWS at a time."""
     return docs.select("doc_id", "text").mapInArrow(lambda it: _pack_partition(it, end_id, capacity), _PIECES)
 
 
@@ -177,4 +184,5 @@ def with_crc(pieces: DataFrame) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of each document, with the crc32 of its ids."""
     return with_crc(pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -1,8 +1,10 @@
 """Exact encoding with a public tokenizer, each distinct piece encoded once a worker.
 
 A text is cut only where the tokenizer's own rules end a token whatever follows, so
-that the pieces' ids joined are the ids of the whole text. Texts that hold anything
-outside those rules are given to the tokenizer whole.
+that the pieces' ids joined are the ids of the whole text. Arrow cuts a column of
+texts and numbers its distinct pieces; the tokenizer sees new pieces alone, and ids
+are gathered as arrays. Texts that hold anything outside those rules are given to the
+tokenizer whole.
 """
 
 from __future__ import annotations
@@ -12,15 +14,24 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from palimpsest.llm.common import tokenizer_path
 
-#: Pieces that a worker remembers; beyond that the memory is emptied and starts anew.
-REMEMBERED = 1_000_000
+#: Pieces, and their ids, that a worker remembers; beyond that the memory starts anew.
+REMEMBERED, REMEMBERED_IDS = 1_000_000, 8_000_000
 #: A longer piece is encoded each time it occurs.
 LONGEST = 64
 
-_ODD_SPACE = re.compile(r"[^\S \n]")
+#: Stands at the cuts; a text that holds it is encoded whole.
+_CUT = "\x01"
+# white space but space and line end (a superset of what the tokenizers hold for it), and
+# the one letter whose lower case is two characters, which the library splits by its
+# place, composed or not
+_ODD = "[\\x{130}\\x{307}\\t\\x0b\\f\\r\\x01\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+# marks behind a letter, up to the next cut: they are one token's worth of pattern
+_MARKS = f"(\\p{{L}})([.,;:!?]+)({_CUT}|$)"
 _RUNS = re.compile(r"\s+|\S+")
 
 
@@ -36,39 +47,94 @@ def load(name: str):
 
 
 class PieceEncoder:
-    """encode(texts) -> one array of unsigned 32-bit ids a text, equal to
-    tokenizer.encode(text, add_special_tokens=False).ids.
+    """Ids of whole texts, equal to tokenizer.encode(text, add_special_tokens=False).
 
     spaced: the tokenizer keeps white space, joined to the next word where it is one
-    space (byte-level pattern); else white space is dropped between words."""
+    space (byte-level pattern); else white space is dropped between words and case is
+    folded."""
 
     def __init__(self, name: str, spaced: bool):
-        self.tok, self.spaced, self.known = load(name), spaced, {}
+        self.tok, self.spaced = load(name), spaced
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-
-    def pieces(self, text: str) -> list[str] | None:
-        """Pieces of a text, or None if it must be encoded whole."""
-        if any(s in text for s in self.special) or _ODD_SPACE.search(text):
-            return None
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        lines = text.split("\n")
-        out: list[str] = []
-        for k, line in enumerate(lines):
-            words = line.split(" ")
-            if k and (not line or line[0] == " ") or "" in words and line or k < len(lines) - 1 and not line:
-                return self.runs(text)
-            if k:
-                out.append("\n")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+        self.start, self.size, self.pieces = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), 0
+
+    def _learn(self, new: list[str]) -> None:
+        got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        total, n = int(sizes.sum()), self.pieces + len(new)
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(total, len(self.ids)), dtype="<u4")))
+        if n > len(self.start):
+            more = np.zeros(max(len(new), len(self.start)), dtype=np.int64)
+            self.start, self.size = np.concatenate((self.start, more)), np.concatenate((self.size, more))
+        self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), dtype="<u4", count=total)
+        self.start[self.pieces : n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.pieces : n] = sizes
+        self.known.update(zip(new, range(self.pieces, n), strict=True))
+        self.used, self.pieces = self.used + total, n
+
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """Where each piece's ids stand, learning those that are new."""
+        found = list(map(self.known.get, keys))
+        if None in found:
+            new = list({k for k, f in zip(keys, found, strict=True) if f is None})
+            if len(self.known) + len(new) > REMEMBERED or self.used > REMEMBERED_IDS:
+                self._forget()
+                new = list(set(keys))
+            self._learn(new)
+            found = [self.known[k] for k in keys]
+            for k in new:
+                if len(k) > LONGEST:
+                    del self.known[k]
+        return np.array(found, dtype=np.int64)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (unsigned 32-bit) of all texts one after the other, and how many each has.
+        A null text counts as empty."""
+        text = pc.fill_null(column, "")
+        odd = pc.match_substring_regex(text, _ODD)
+        for s in [*self.special, *(["  ", " \n", "\n ", "\n\n"] if self.spaced else [])]:
+            odd = pc.or_(odd, pc.match_substring(text, s))
+        plain = pc.if_else(odd, "", text)
+        if self.spaced:
+            cut = pc.replace_substring(pc.replace_substring(plain, " ", f"{_CUT} "), "\n", f"{_CUT}\n{_CUT}")
+        else:
+            cut = pc.replace_substring(pc.replace_substring(pc.ascii_lower(plain), "\n", _CUT), " ", _CUT)
+        lists = pc.split_pattern(pc.replace_substring_regex(cut, _MARKS, f"\\1{_CUT}\\2\\3"), _CUT)
+        coded = lists.flatten().dictionary_encode()
+        place = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        sizes, starts = self.size[place], self.start[place]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.concatenate(([0], ends))[lists.offsets.to_numpy()]
+        counts = np.diff(at)
+        rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(rows):
+            parts, before = [], 0
+            for r in rows.tolist():
+                whole = self._whole(text[r].as_py())
+                parts += [ids[before : at[r]], whole]
+                before, counts[r] = at[r], len(whole)
+            ids = np.concatenate([*parts, ids[before:]])
+        return ids, counts
+
+    def _whole(self, text: str) -> np.ndarray:
+        """A text by runs of white space where the rules allow it, else in one piece."""
+        if self.spaced and not re.search(r"[^\S \n]|\x01", text) and not any(s in text for s in self.special):
+            place = self._places(self.runs(text))
+            return np.concatenate([np.zeros(0, dtype="<u4"), *[self.ids[self.start[p] : self.start[p] + self.size[p]] for p in place]])
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     @staticmethod
     def runs(text: str) -> list[str]:
-        """The same with runs of white space: all of a run but its last character is
-        one token, the last goes to the next word if it is a space, else stands alone;
-        at the end of the text the run is one token."""
+        """Pieces with runs of white space: all of a run but its last character is one
+        token, the last goes to the next word if it is a space, else stands alone; at
+        the end of the text the run is one token."""
         out, held = [], ""
         found = _RUNS.findall(text)
         for k, run in enumerate(found):
@@ -86,27 +152,20 @@ class PieceEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
-        seen = {p for c in cut if c is not None for p in c}
-        new = {p for p in seen if p not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = seen
-        new.discard("")
-        learnt, look = list(new), self.known
-        for p, e in zip(learnt, self.tok.encode_batch_fast(learnt, add_special_tokens=False), strict=True):
-            look[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-        look[""] = b""
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(np.asarray(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4"))
-            else:
-                out.append(np.frombuffer(b"".join([look[p] for p in c]), dtype="<u4"))
-        for p in learnt:
-            if len(p) > LONGEST:
-                del look[p]
-        return out
+        """One array a text."""
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(texts) else []
+
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of several texts with end_id behind each text's, and the new counts."""
+    counts = counts + 1
+    ends = np.cumsum(counts) - 1
+    out = np.empty(len(ids) + len(counts), dtype="<u4")
+    own = np.ones(len(out), dtype=bool)
+    own[ends] = False
+    out[own], out[ends] = ids, end_id
+    return out, counts
 
 
 @lru_cache(maxsize=4)
