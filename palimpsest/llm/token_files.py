@@ -27,13 +27,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import fresh_path, slices
-from palimpsest.llm.tokens import byte_bpe
+from palimpsest.llm.tokens import byte_bpe, with_end
 
 # Ids and bits of each selector.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)
+# by id, the first selector wide enough
+_SELECTOR = np.searchsorted(1 << np.array(BITS[1:]), np.arange(1 << 16), side="right").astype(np.int8) + np.int8(1)
 #: Ids after which a block is closed (at a document's end, so one very long document is one block).
 BLOCK_IDS = 1 << 16
+#: Bytes of text in a file, about.
+FILE_BYTES = 64 << 20
 
 
 def simple8b_encode(ids: np.ndarray) -> np.ndarray:
@@ -42,25 +46,33 @@ def simple8b_encode(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    # bits of each id, by comparison with the selectors' widths alone
-    need = np.full(n, 15, dtype=np.int8)  # the first selector wide enough; 15: escape
-    for s in range(14, 0, -1):
-        need[ids < (np.uint64(1) << np.uint64(BITS[s]))] = s
+    # the first selector wide enough for each id; 15: escape
+    need = _SELECTOR[np.minimum(ids, np.uint64(len(_SELECTOR) - 1)).astype(np.int64)]
+    if ids.max() >= len(_SELECTOR):
+        for s in range(14, 0, -1):
+            need[ids < (np.uint64(1) << np.uint64(BITS[s]))] = s
+        need[ids >= np.uint64(1 << 30)] = 15
+    # the widest need in each stretch of 1, 2, 4, ... ids; a selector fits where its
+    # stretch, as two that overlap, needs no wider one
+    widest = [need]
+    while 2 << len(widest) <= 2 * n and len(widest) < 8:
+        last, half = widest[-1], 1 << (len(widest) - 1)
+        widest.append(np.maximum(last[:-half], last[half:]))
     choice = np.full(n, 15, dtype=np.int8)
-    left = n - np.arange(n)
-    for s in range(14, -1, -1):  # a selector fits at i if its next ids need no wider one
+    for s in range(14, -1, -1):
         c = COUNTS[s]
         if n < c:
             continue
-        wide = np.concatenate(([0], np.cumsum(need > max(s, 1))))
-        fits = wide[c:] == wide[:-c]
-        choice[: n - c + 1][fits] = s
+        k = c.bit_length() - 1
+        room = n - c + 1
+        stretch = np.maximum(widest[k][:room], widest[k][c - (1 << k) :][:room])
+        np.copyto(choice[:room], s, where=stretch <= max(s, 1))
     step = np.array([*COUNTS, 1])[choice]
-    del left
-    starts, at, jump = [], 0, step.tolist()
+    starts, at, then = [], 0, (np.arange(n) + step).tolist()
+    add = starts.append
     while at < n:
-        starts.append(at)
-        at += jump[at]
+        add(at)
+        at = then[at]
     starts = np.asarray(starts)
     sel = choice[starts].astype(np.int64)
     value = ids[starts]
@@ -125,27 +137,30 @@ def _to_blocks(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.Re
 
     enc = byte_bpe()
     file, block, first = TaskContext.get().partitionId(), 0, 0
-    ids, docs = [], []
+    held: list[tuple[list[int], np.ndarray, np.ndarray]] = []  # documents, counts, ids of the open block
 
     def close() -> pa.RecordBatch:
-        nonlocal block, first, ids, docs
-        whole = np.concatenate(ids)
+        nonlocal block, first, held
+        docs = [d for h in held for d in h[0]]
+        lengths, whole = (np.concatenate([h[k] for h in held]) for k in (1, 2))
         words = simple8b_encode(whole)
-        row = {"file": file, "block": block, "first": first, "doc_ids": docs, "lengths": [len(x) for x in ids], "n_ids": len(whole), "n_words": len(words), "words": words.astype("<u8").tobytes()}
-        block, first, ids, docs = block + 1, first + len(whole), [], []
+        row = {"file": file, "block": block, "first": first, "doc_ids": docs, "lengths": lengths, "n_ids": len(whole), "n_words": len(words), "words": words.astype("<u8").tobytes()}
+        block, first, held = block + 1, first + len(whole), []
         return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
-    for batch in slices(batches, "text"):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        size = sum(map(len, ids))
-        for doc, got in zip(batch.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
-            ids.append(np.append(got, np.uint32(end_id)))
-            docs.append(doc)
-            size += len(ids[-1])
+    size = 0
+    for batch in slices(batches, "text", rows=4096):
+        ids, counts = with_end(*enc.encode_column(batch.column("text")), end_id)
+        docs, ends, at, before = batch.column("doc_id").to_pylist(), np.cumsum(counts), 0, 0
+        while at < len(docs):  # to the first document that fills the block
+            to = min(int(np.searchsorted(ends, before + BLOCK_IDS - size)) + 1, len(docs))
+            held.append((docs[at:to], counts[at:to], ids[before : ends[to - 1]].copy()))
+            size += int(ends[to - 1]) - before
+            at, before = to, int(ends[to - 1])
             if size >= BLOCK_IDS:
                 yield close()
                 size = 0
-    if ids:
+    if held:
         yield close()
 
 
@@ -153,11 +168,19 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, files: int |
     """Encode docs (doc_id, text) and write them, ascending by doc_id, to path.
 
     A null text is empty (end id only); null ids come first; repeated ids stand side
-    by side in no given order. `files` is the number of range partitions."""
+    by side in no given order, and may lie in several files; other columns are ignored;
+    an empty table makes an empty file. A very long text is one block. `files`: range
+    partitions, by default one for each FILE_BYTES of text (fewer bytes where cores
+    would stay idle)."""
     spark = docs.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(lambda it: _to_blocks(it, end_id), _BLOCKS).write.option("compression", "zstd").parquet(path)
+    rows = docs.select("doc_id", "text")
+    if files is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(1, -(-size // FILE_BYTES), min(spark.sparkContext.defaultParallelism, -(-size // (FILE_BYTES >> 4))))
+    # the row number splits an id that many rows share
+    order = ["doc_id", "_row"]
+    ordered = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(lambda it: _to_blocks(it, end_id), _BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
 def _from_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +201,8 @@ def _from_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): ids as little-endian unsigned 32-bit bytes; start counts
-    the ids of all documents before it over all files."""
+    the ids of all documents before it over all files. No rows from files of an empty
+    table."""
     blocks = spark.read.parquet(path)
     sizes = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))
     # one row a file: at most the writer's number of range partitions
@@ -188,6 +212,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files read back."""
     path = fresh_path(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     ids = read_token_files(spark, path)

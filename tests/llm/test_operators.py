@@ -43,23 +43,39 @@ def test_quality_rules(docs, labels, empty):
     assert quality_rules.quality_rules(docs, labels.limit(0)).count() == len(TEXTS) + 2
 
 
-def test_quality_scores_are_leave_one_out(spark):
+def test_quality_scores_equal_brute_force(spark):
+    from pyspark.sql import functions as F
+
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abcdefgh") if i % 3 else f"w{rng.randrange(30)}" for i in range(rng.randint(20, 60))) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (70, None)]
-    marks = [(i, int(i % 2 == 0), 0) for i in range(60)]
-    grams = [Counter(w) + Counter(zip(w, w[1:])) for w in ((t or "").split() for _, t in rows)]
-    trusted = [i is not None and i < 60 and i % 2 == 0 for i, _ in rows]
-    raw, target = sum(grams, Counter()), sum((g for g, t in zip(grams, trusted) if t), Counter())
-    want = {}
-    for (i, _), g, t in zip(rows, grams, trusted):
-        n = sum(g.values())
-        share = (target.total() - n * t) / (raw.total() - n)
-        want[i] = sum(c * np.log((target[k] - c * t + 1) / ((raw[k] - c) * share + 1)) for k, c in g.items()) / max(n, 1)
+    marks = [(i, int(i % 2 == 0), 0) for i in range(60)] + [(None, 1, 0), (4, 1, 0), (5, None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for slots in (1, 64, 1 << 12):
-        got = quality_rules.quality_rules(frame, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), slots=slots).collect()
-        assert len(got) == len(rows) and all(abs(r.llr - want[r.doc_id]) < 1e-9 for r in got)
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in {w for t in texts for w in t.split()}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = {(a, b) for t in texts for a, b in zip(t.split(), t.split()[1:])}
+    twos = {(r.a, r.b): r.h for r in spark.createDataFrame([(a, b, hashed[a], hashed[b]) for a, b in pairs], "a string, b string, x long, y long").select("a", "b", F.xxhash64("x", "y").alias("h")).collect()}
+    for buckets in (1, 64, 1 << 12):
+        grams = [[hashed[w] % buckets for w in ws] + [twos[p] % buckets for p in zip(ws, ws[1:])] for ws in ((t or "").split() for _, t in rows)]
+        trusted = [i is not None and i < 60 and i % 2 == 0 for i, _ in rows]
+        raw, target = Counter(g for x in grams for g in x), Counter(g for x, t in zip(grams, trusted) if t for g in x)
+        want = {}
+        for (i, _), x, t in zip(rows, grams, trusted):
+            share = (target.total() - t) / (raw.total() - 1)
+            want[i] = sum(np.log((target[g] - t + 1) / ((raw[g] - 1) * share + 1)) for g in x) / max(len(x), 1)
+        got = quality_rules.quality_rules(frame, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), buckets=buckets).collect()
+        assert len(got) == len(rows) and all(abs(r.llr - want[r.doc_id]) < 1e-5 for r in got)
+        # the cut: all but LOST of the trusted documents reach it, and what reaches it stays
+        cut = min(0, sorted(r.llr for r, in [(x,) for x in got] if r.doc_id is not None and r.doc_id < 60 and r.doc_id % 2 == 0)[0])
+        assert all(r.kept == (not r.base_failed and r.llr >= cut) for r in got)
+
+
+def test_quality_rules_keep_clashing_columns(spark, labels):
+    rows = [(0, "some plain words " * 10, 7, "a", True), (1, None, 8, "b", False)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _w int, _h1 string, kept boolean")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame, labels).collect()}
+    assert (got[0]["_w"], got[0]["_h1"], got[1]["_w"]) == (7, "a", 8)
+    assert quality_rules.keep_good(frame, labels).columns == frame.columns
+    assert quality_rules.base_rules(frame).columns == [*frame.columns, *quality_rules.OWN[:6]]
 
 
 def test_toxicity(docs, labels, empty):
@@ -133,10 +149,19 @@ def test_packing(docs, empty):
             assert r.offset == total
             total += r.length
         assert total <= 2048 and (total == 2048 or total & (total - 1) == 0)
-    ids = np.array([*word_bpe().tok.encode(LONG, add_special_tokens=False).ids, 1], dtype="<u4")
-    mine = sorted((r for r in rows if r.doc_id == 5), key=lambda r: r.start)
-    assert sum(r.length for r in mine) == len(ids)
-    assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in mine)
+    # each id of each document lies in exactly one piece (documents 0 and null repeat)
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+    for doc, text in [*enumerate(TEXTS), (None, "no id here")]:
+        ids = np.array([*word_bpe().tok.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        mine, times = pieces.pop(doc), 2 if doc == 0 else 1
+        covered = np.zeros(len(ids), dtype=int)
+        for r in mine:
+            covered[r.start : r.start + r.length] += 1
+            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids)
+        assert (covered == times).all()
+    assert not pieces
     assert packing.pack_documents(empty).count() == 0
 
 
