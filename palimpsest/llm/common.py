@@ -16,19 +16,22 @@ from pyspark.sql import functions as F
 
 #: White space of the word rules: space and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]"
+#: Bits of a filter of ids (2 MB), and values of an array that meet in one row before the
+#: rows meet.
+FILTER_BITS, SLICE = 1 << 24, 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests on one
-    machine) a temporary folder is made and set as the checkpoint folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
+    """The folder named in spark.checkpoint.dir, or the one that setCheckpointDir has
+    set. Where there is none, a temporary folder in local mode alone (tests on one
+    machine); on a cluster executors would not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return str(current).rstrip("/")
+        named = str(spark.sparkContext.getCheckpointDir())
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -49,6 +52,28 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def dense(rows: DataFrame, size: int, *values: str) -> DataFrame:
+    """One row of one array a value, by slot 0 to size - 1; 0 where rows has no such slot."""
+    zero = rows.sparkSession.range(size).select(F.col("id").alias("slot"), *[F.lit(0).cast(rows.schema[v].dataType).alias(v) for v in values])
+    every = rows.unionByName(zero).groupBy("slot").agg(*[F.sum(v).alias(v) for v in values])
+    field = lambda v: lambda x: x[v]
+    part = F.array_sort(F.collect_list(F.struct("slot", *values)))
+    parts = every.groupBy((F.col("slot") / SLICE).cast("bigint").alias("part")).agg(*[F.transform(part, field(v)).alias(v) for v in values])
+    whole = F.array_sort(F.collect_list(F.struct("part", *values)))
+    return parts.agg(*[F.flatten(F.transform(whole, field(v))).alias(v) for v in values])
+
+
+def perhaps_in(ids: DataFrame, column: str) -> Column:
+    """Whether a column of that name may be among ids: true for all that are, and for few
+    others, by FILTER_BITS bits. A fuller filter lets more pass, so it may only spare work."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    marks = ids.select((bit / 64).cast("bigint").alias("slot"), (bit % 64).cast("int").alias("at")).distinct()
+    # each bit once: their sum is their union
+    filled = stage(dense(marks.select("slot", F.expr("shiftleft(1L, at)").alias("bits")), FILTER_BITS // 64, "bits"), "filter")
+    held = F.get(filled.select("bits").scalar(), (bit / 64).cast("int"))
+    return F.coalesce(F.getbit(held, (bit % 64).cast("int")) == 1, F.lit(False))
+
+
 def group_back(df: DataFrame, key: str, part: Column, whole: Callable[[Column], Column], name: str, salts: int = 64) -> DataFrame:
     """df with an aggregate over all rows of the same key, as column name: part over
     the rows of a (key, salt), whole over a key's parts.
@@ -67,17 +92,17 @@ def group_min_back(df: DataFrame, key: str, value: Column, name: str, salts: int
     return group_back(df, key, F.min(value), F.min, name, salts)
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), by
     alternating large-star and small-star steps until nothing changes.
 
     Nodes without an edge do not appear. Each half step is a salted group minimum,
     so a hub with a third of all edges is spread over tasks; every round is written
-    to the shared folder. Raises if `rounds` do not suffice (they halve depth)."""
+    to the shared folder; rounds halve depth, so few are needed at any size."""
     cur = stage(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges"
     )
-    for _ in range(rounds):
+    while True:
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = group_min_back(both, "u", F.least("u", "v"), "m").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u != v").distinct()
@@ -89,8 +114,6 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         cur = nxt
         if old == new:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stage, words
+from palimpsest.llm.common import dense, perhaps_in, stage, words
 
 #: Buckets for each cube root of the number of n-grams; rounded up to a power of two.
 GROWTH = 256
@@ -27,11 +27,6 @@ GROWTH = 256
 SMOOTHING = 1.0
 #: Share of the trusted documents (of 20 words on) below the cut.
 LOST = 0.02
-#: Bits of the filter that spares most untrusted texts the join with the labels (2 MB);
-#: a fuller filter spares fewer, with the same result.
-FILTER_BITS = 1 << 24
-#: Values of an array that meet in one row before the rows meet.
-SLICE = 4096
 #: Result columns.
 OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
@@ -94,28 +89,6 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return df.select("row.*", *OWN[:6])
 
 
-def _dense(rows: DataFrame, size: int, *values: str) -> DataFrame:
-    """One row of one array a value, by slot 0 to size - 1; 0 where rows has no such slot."""
-    zero = rows.sparkSession.range(size).select(F.col("id").alias("slot"), *[F.lit(0).cast(rows.schema[v].dataType).alias(v) for v in values])
-    every = rows.unionByName(zero).groupBy("slot").agg(*[F.sum(v).alias(v) for v in values])
-    field = lambda v: lambda x: x[v]
-    part = F.array_sort(F.collect_list(F.struct("slot", *values)))
-    parts = every.groupBy((F.col("slot") / SLICE).cast("bigint").alias("part")).agg(*[F.transform(part, field(v)).alias(v) for v in values])
-    whole = F.array_sort(F.collect_list(F.struct("part", *values)))
-    return parts.agg(*[F.flatten(F.transform(whole, field(v))).alias(v) for v in values])
-
-
-def _perhaps(ids: DataFrame) -> Column:
-    """Whether doc_id may be among ids: true for all that are, and for few others."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    marks = ids.select((bit / 64).cast("bigint").alias("slot"), (bit % 64).cast("int").alias("at")).distinct()
-    # each bit once: their sum is their union
-    one = F.expr("shiftleft(1L, at)")
-    filled = stage(_dense(marks.select("slot", one.alias("bits")), FILTER_BITS // 64, "bits"), "filter")
-    held = F.get(filled.select("bits").scalar(), (bit / 64).cast("int"))
-    return F.coalesce(F.getbit(held, (bit % 64).cast("int")) == 1, F.lit(False))
-
-
 def buckets_for(n: int) -> int:
     """Number of buckets for a corpus of n n-grams."""
     return 1 << max(10, (int(GROWTH * max(n, 1) ** (1 / 3)) - 1).bit_length())
@@ -136,7 +109,7 @@ def ngram_model(docs: DataFrame, good: DataFrame, perhaps: Column, buckets: int,
     zero = F.lit(0).cast("bigint")
     both = counted(docs, "raw").withColumn("target", zero).unionByName(counted(trusted, "target").withColumn("raw", zero))
     total = lambda c: F.aggregate(c, zero, lambda a, x: a + x)
-    counts = _dense(both, buckets, "raw", "target").withColumn("n_raw", total("raw")).withColumn("n_target", total("target"))
+    counts = dense(both, buckets, "raw", "target").withColumn("n_raw", total("raw")).withColumn("n_target", total("target"))
     other = lambda n: F.greatest(n - 1, zero)
 
     def ratios(own: bool) -> Column:
@@ -178,7 +151,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int | None = None
         # words and pairs are about two for each run of white space
         words_about = F.char_length(F.col("text")) - F.char_length(F.translate("text", " \n\t", "")) + 1
         buckets = buckets_for(2 * (plain.agg(F.sum(words_about.cast("bigint"))).first()[0] or 0))
-    perhaps = _perhaps(good)
+    perhaps = perhaps_in(good, "doc_id")
     model = ngram_model(plain, good, perhaps, buckets, smoothing)
     carried = [c for c in docs.columns if c not in OWN and (text or c != "text")]
     df = _scored(_base(docs.select(F.struct(*carried).alias("row"), "doc_id", "text")), model, perhaps, buckets)
