@@ -21,11 +21,17 @@ def contained(needles: DataFrame, hay: DataFrame, needle_id: str, hay_id: str, t
     equi-join, so no text meets every other. Needles without a word match nothing."""
     n = needles.select(needle_id, fold(F.col(text)).alias("needle")).withColumn("words", F.split(F.trim("needle"), " ")).filter("needle != '  '")
     h = hay.select(hay_id, fold(F.col(text)).alias("hay")).withColumn("words", F.split(F.trim("hay"), " "))
-    out = None
+    pairs = None
     for size, mine in ((KEY_WORDS, F.size("words") >= KEY_WORDS), (1, F.size("words") < KEY_WORDS)):
-        keyed = n.filter(mine).select(needle_id, "needle", F.array_join(F.slice("words", 1, size), " ").alias("key"))
-        runs = F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.array_join(F.slice("words", i, size), " "))
-        grams = h.filter(F.size("words") >= size).select(hay_id, "hay", F.explode(F.array_distinct(runs)).alias("key"))
-        hits = grams.join(keyed, "key").filter(F.col("hay").contains(F.col("needle"))).select(needle_id, hay_id)
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct()
+        keyed = n.filter(mine).select(needle_id, F.xxhash64(F.array_join(F.slice("words", 1, size), " ")).alias("key"))
+        runs = F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), _run(size))
+        # keys alone travel; texts are fetched once for the pairs that meet
+        grams = h.filter(F.size("words") >= size).select(hay_id, F.explode(F.array_distinct(runs)).alias("key"))
+        met = grams.join(keyed, "key").select(needle_id, hay_id)
+        pairs = met if pairs is None else pairs.unionByName(met)
+    both = pairs.distinct().join(n.select(needle_id, "needle"), needle_id).join(h.select(hay_id, "hay"), hay_id)
+    return both.filter(F.col("hay").contains(F.col("needle"))).select(needle_id, hay_id).distinct()
+
+
+def _run(size: int):
+    return lambda i: F.xxhash64(F.array_join(F.slice("words", i, size), " "))

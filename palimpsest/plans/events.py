@@ -118,12 +118,40 @@ sql("moa_diagnostics", _OPS + "SELECT user_id, count(*) AS decisions, count(*) F
 sql("update_target_accuracy", _OPS + """SELECT user_id, count(*) FILTER (WHERE ref_op = 'Update' AND op = 'Update') AS eligible,
  round(count(*) FILTER (WHERE ref_op = 'Update' AND op = 'Update' AND right_target) / CAST(nullif(count(*) FILTER (WHERE ref_op = 'Update' AND op = 'Update'), 0) AS DOUBLE), 6) AS accuracy FROM o GROUP BY user_id""")
 
-_ANSWERS = _IDX + """, l AS (SELECT user_id, max_by(event_type, idx) AS cur, max(idx) AS n FROM e GROUP BY user_id),
- a AS (SELECT l.user_id, l.cur, e.event_type AS answer FROM l LEFT JOIN e ON e.user_id = l.user_id AND e.idx = l.n - 2),
- s AS (SELECT a.user_id, a.answer, CASE WHEN lower(trim(a.answer)) = lower(trim(a.cur)) THEN 'CURRENT_CORRECT'
-  WHEN a.answer IS NOT NULL THEN 'STALE_ERROR' ELSE 'OTHER_ERROR' END AS class FROM a) """
-sql("answer_classification", _ANSWERS + "SELECT user_id, answer, class FROM s")
-sql("csa_srr", _ANSWERS + "SELECT count(*) AS answers, round(avg(CAST(CASE WHEN class = 'CURRENT_CORRECT' THEN 1 ELSE 0 END AS DOUBLE)), 6) AS csa, round(avg(CAST(CASE WHEN class = 'STALE_ERROR' THEN 1 ELSE 0 END AS DOUBLE)), 6) AS srr FROM s")
+# answers: by run the current value (in other case and spacing), a near miss, an older
+# value, or none
+_ANSWERS = _DUCK + """, l AS (SELECT user_id, max_by(event_type, idx) AS cur, max(idx) AS n FROM e GROUP BY user_id),
+ a AS (SELECT l.user_id, l.cur, CASE l.user_id % 4 WHEN 0 THEN '  ' || upper(l.cur) || ' ' WHEN 1 THEN l.cur || '.' WHEN 2 THEN e.event_type END AS answer FROM l LEFT JOIN e ON e.user_id = l.user_id AND e.idx = l.n - 2),
+ s AS (SELECT a.user_id, a.answer, CASE WHEN lower(trim(a.answer)) = lower(a.cur) THEN 'CURRENT_CORRECT'
+  WHEN EXISTS (SELECT 1 FROM e WHERE e.user_id = a.user_id AND lower(e.event_type) = lower(trim(a.answer))) THEN 'STALE_ERROR' ELSE 'OTHER_ERROR' END AS class FROM a) """
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current, stale (a superseded value, after folding case and white space), or other."""
+    fold = lambda c: F.lower(F.trim(F.regexp_replace(c, "\\s+", " ")))
+    e = indexed(spark, sf_dir)
+    runs = e.groupBy("user_id").agg(F.max_by("event_type", "idx").alias("cur"), F.max("idx").alias("n"), F.collect_set(fold("event_type")).alias("known"))
+    old = e.select("user_id", F.col("idx").alias("n2"), F.col("event_type").alias("old"))
+    runs = runs.withColumn("n2", F.col("n") - 2).join(old, ["user_id", "n2"], "left")
+    kind = F.col("user_id") % 4
+    answer = F.when(kind == 0, F.concat(F.lit("  "), F.upper("cur"), F.lit(" "))).when(kind == 1, F.concat("cur", F.lit("."))).when(kind == 2, F.col("old"))
+    runs = runs.withColumn("answer", answer)
+    stale = F.array_contains(F.array_except("known", F.array(fold("cur"))), fold("answer"))
+    name = F.when(fold("answer") == fold("cur"), "CURRENT_CORRECT").when(stale, "STALE_ERROR").otherwise("OTHER_ERROR")
+    return runs.select("user_id", "answer", name.alias("class"))
+
+
+@query(_ANSWERS + "SELECT user_id, answer, class FROM s")
+def answer_classification(spark, sf_dir):
+    return _classified(spark, sf_dir)
+
+
+@query(_ANSWERS + "SELECT count(*) AS answers, round(avg(CAST(class = 'CURRENT_CORRECT' AS INT)), 6) AS csa, round(avg(CAST(class = 'STALE_ERROR' AS INT)), 6) AS srr FROM s")
+def csa_srr(spark, sf_dir):
+    share = lambda name: F.round(F.avg((F.col("class") == name).cast("double")), 6)
+    return _classified(spark, sf_dir).agg(F.count("*").alias("answers"), share("CURRENT_CORRECT").alias("csa"), share("STALE_ERROR").alias("srr"))
+
+
 sql("candidate_render_roundtrip", """WITH c AS (SELECT event_id, 'For user ' || CAST(user_id AS VARCHAR(20)) || ', the event type is ' || event_type || '.' AS text, event_type FROM {events})
 SELECT event_id, text, regexp_extract(text, '^For (.+?), the (.+?) is (.+)[.]$', 3) AS value, regexp_extract(text, '^For (.+?), the (.+?) is (.+)[.]$', 3) = event_type AS round_trip FROM c""")
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from palimpsest.operators.text import contained
 from palimpsest.plans.registry import query, sql, table
 
-# Words that tell a value's status rather than the value.
-STATUS_WORDS = ("now", "current", "latest", "previous", "old", "new", "the")
+# Words that tell a value's status or time rather than the value.
+STATUS_WORDS = (
+    "current", "now", "latest", "previous", "new", "newest", "old", "former", "prior",
+    "updated", "changed", "revised", "original", "final", "recent", "today", "next",
+)
 _STATUS = ", ".join(f"'{w}'" for w in STATUS_WORDS)
 
 _WORDS = """WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' '@G)) AS norm FROM {documents}) """.replace("\\\\", "\\")
@@ -94,7 +97,19 @@ def distinct_sorted_inventory(spark, sf_dir):
 _CELLS = """WITH c AS (SELECT d.lang, d.source, CASE WHEN l.quality IS NULL THEN 'PENDING' WHEN l.quality = 0 THEN 'FAIL' ELSE 'PASS' END AS level1, coalesce(l.toxic, 0) AS level2 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id) """
 sql("disposition_rollup", _CELLS + """SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS cells, count(*) FILTER (WHERE level1 = 'PENDING') AS pending,
  CASE WHEN bool_or(level1 = 'FAIL') THEN 'FAIL' WHEN bool_or(level1 = 'PENDING') THEN 'PENDING' ELSE 'QUALIFIED' END AS verdict FROM c GROUP BY ROLLUP (lang, source)""")
-sql("two_level_gate", _CELLS + "SELECT source, count(*) FILTER (WHERE level1 = 'FAIL') AS level1_failures, CAST(sum(level2) AS BIGINT) AS level2_findings, NOT bool_or(level1 = 'FAIL') AS eligible FROM c GROUP BY source")
+
+
+@query("""SELECT d.source, count(*) FILTER (WHERE l.quality = 0) AS level1_failures, CAST(sum(coalesce(l.toxic, 0)) AS BIGINT) AS level2_findings,
+ CASE WHEN min(l.quality) = 0 THEN 'FAIL' WHEN count(*) > count(l.quality) THEN 'PENDING' ELSE 'QUALIFIED' END AS verdict
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source""")
+def two_level_gate(spark, sf_dir):
+    """FAIL if a cell fails, else PENDING if one is open, else QUALIFIED."""
+    cells = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    failed, open_ = F.count_if(F.col("quality") == 0), F.count_if(F.col("quality").isNull())
+    verdict = F.when(failed > 0, "FAIL").when(open_ > 0, "PENDING").otherwise("QUALIFIED")
+    return cells.groupBy("source").agg(failed.alias("level1_failures"), F.sum(F.coalesce("toxic", F.lit(0))).cast("bigint").alias("level2_findings"), verdict.alias("verdict"))
+
+
 sql("audit_template", """WITH k AS (SELECT 'identity' AS chk, 1 AS need UNION ALL SELECT 'value', 1 UNION ALL SELECT 'fluency', 0)
 SELECT doc_id, chk, CASE WHEN need = 0 AND toxic = 1 THEN 'NA' ELSE 'OPEN' END AS cell FROM {labels} CROSS JOIN k""")
 sql("distractor_roles", """WITH b AS (SELECT n_nationkey, n_regionkey, min(s_suppkey) AS s FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY 1, 2)

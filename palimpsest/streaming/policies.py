@@ -8,9 +8,9 @@ are in; a late event counts in the batch in which it arrives.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,32 +18,49 @@ from palimpsest.operators import memory
 
 
 def _folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="palimpsest-stream-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def stream_upsert_noop(spark: SparkSession, path: str, run: str = "user_id", value: str = "event_type", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Read every file under path once (available now) and return the final memory."""
-    base = _folder(spark)
-    schema = spark.read.parquet(path).schema
-    versions: list[str] = []
+def stream_upsert_noop(spark: SparkSession, path: str, run: str = "user_id", value: str = "event_type", ts: str = "ts", tie: str = "event_id", base: str | None = None) -> DataFrame:
+    """Read every file of path (one file, or a folder of them) that has not been read yet,
+    and return the final memory.
+
+    base: the folder of offsets and state. A later run with the same base goes on where
+    the last one ended: each batch's state is a partition of its own, by batch number.
+    Without any event the memory is empty."""
+    base = base or _folder(spark)
+    given = spark.read.parquet(path)
+
+    def state(number: int | None = None) -> DataFrame | None:
+        """The state after a batch, or after the last one."""
+        try:
+            every = spark.read.option("basePath", f"{base}/state").parquet(f"{base}/state")
+        except AnalysisException:  # no batch so far
+            return None
+        last = every.agg(F.max("batch")).first()[0] if number is None else number
+        return every.filter(F.col("batch") == F.lit(last)).drop("batch")
 
     def fold(batch: DataFrame, number: int) -> None:
         """State and batch together, older first, through the batch definition."""
-        new = batch.select(run, value, ts, tie, F.lit(None).cast("timestamp_ntz").alias("created"), F.lit(1).alias("age"))
-        if versions:
-            old = batch.sparkSession.read.parquet(versions[-1])
-            old = old.select(run, F.col("text").alias(value), F.col("updated").alias(ts), F.lit(None).cast("bigint").alias(tie), "created", F.lit(0).alias("age"))
+        new = batch.select(run, value, ts, tie, F.lit(None).cast(given.schema[ts].dataType).alias("created"))
+        if number and (held := state(number - 1)) is not None:
+            old = held.select(run, F.col("text").alias(value), F.col("updated").alias(ts), F.lit(None).cast(given.schema[tie].dataType).alias(tie), "created")
             new = old.unionByName(new)
         out = memory.upsert_noop(memory.indexed(new, run, value, ts, tie), run, value, ts)
         created = new.groupBy(run).agg(F.min(F.coalesce("created", ts)).alias("created"))
-        version = f"{base}/state-{number}"
-        out.drop("created").join(created, run).write.mode("overwrite").parquet(version)
-        versions.append(version)
+        out.drop("created").join(created, run).write.mode("overwrite").parquet(f"{base}/state/batch={number}")
 
-    # the stream reads a folder: a single file is matched by name
+    source = spark.readStream.schema(given.schema)
+    files = [f.rstrip("/").rpartition("/")[2] for f in given.inputFiles()]
     folder, _, name = path.rstrip("/").rpartition("/")
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder)
+    # the stream reads a folder: a table that is one file is matched by its name there
+    source = source.option("pathGlobFilter", name).parquet(folder) if files == [name] else source.parquet(path)
     stream = source.writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.read.parquet(versions[-1]).select(run, "created", "updated", "text")
+    done = state()
+    if done is None:
+        done = memory.upsert_noop(memory.indexed(given.limit(0), run, value, ts, tie), run, value, ts)
+    return done.select(run, "created", "updated", "text")
