@@ -28,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 SHAPES = 2048
 #: Rounds of message passing, and share of the old message kept.
 ROUNDS, DAMPING = 8, 0.3
+#: Edges whose messages are made at once: bounds their tables.
+EDGES = 1 << 16
 #: A token takes a kind from this marginal on.
 SURE = 0.6
 
@@ -82,10 +84,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _shape(token: str) -> int:
-    """Bucket of a token's shape: runs of digits, letters and each mark, digit runs by
-    length, and whether its digits pass the card checksum."""
-    digits = re.sub(r"[^0-9]", "", token) if 13 <= len(token) <= 80 else ""
-    s = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 6)}", token[:80]))
+    """Bucket of a whole token's shape: runs of digits, letters and each mark, digit runs
+    by length, and whether its digits pass the card checksum."""
+    digits = re.sub(r"[^0-9]", "", token)
+    s = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 6)}", token))
     if 13 <= len(digits) <= 19 and _luhn(digits):
         s += "|sum"
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % SHAPES
@@ -171,17 +173,20 @@ class Field:
         out[sure, g.labels[sure]] = 0.0
         i = np.concatenate([g.edges[k][:, d] for k in (0, 1) for d in (0, 1)])
         j = np.concatenate([g.edges[k][:, 1 - d] for k in (0, 1) for d in (0, 1)])
-        table = np.concatenate([np.broadcast_to(self.pair[k], (2 * len(g.edges[k]), n, n)) for k in (0, 1)])
         sizes = [len(g.edges[0])] * 2 + [len(g.edges[1])] * 2
         ends = np.cumsum([0, *sizes])
         back = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in (1, 0, 3, 2)]) if len(i) else np.zeros(0, int)
+        # some edges of one kind at a time: a long text has millions
+        parts = [(lo, min(lo + EDGES, ends[x + 1]), self.pair[x // 2]) for x in range(4) for lo in range(ends[x], ends[x + 1], EDGES)]
         message = np.zeros((len(i), n))
         for _ in range(ROUNDS if len(i) else 0):
             belief = out.copy()
             np.add.at(belief, j, message)
-            send = (belief[i] - message[back])[:, :, None] + table
-            top = send.max(1)
-            new = top + np.log(np.exp(send - top[:, None, :]).sum(1))
+            held, new = belief[i] - message[back], np.empty_like(message)
+            for lo, hi, pair in parts:
+                send = held[lo:hi, :, None] + pair
+                top = send.max(1)
+                new[lo:hi] = top + np.log(np.exp(send - top[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
             message = DAMPING * message + (1 - DAMPING) * new
         belief = out
@@ -239,12 +244,13 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by its kind in square brackets, in
-    capitals; overlapping spans become one, of the first's kind."""
+    capitals; overlapping spans become one, of the first's kind. A null text stays null,
+    repeated rows each keep their row, all columns stay; an empty table gives no rows."""
     field = Field(docs)
 
-    def clean(text: str) -> str:
+    def clean(text: str, spans: list[tuple[int, int, int]]) -> str:
         out, at = [], 0
-        for s, e, k in sorted((s, e, k) for k, s, e in field.spans([text])[1][0]):
+        for s, e, k in sorted((s, e, k) for k, s, e in spans):
             if s >= at:
                 out += [text[at:s], f"[{KINDS[k].upper()}]"]
             at = max(at, e)
@@ -253,12 +259,15 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             k = b.schema.get_field_index("text")
-            yield b.set_column(k, "text", pa.array([None if t is None else clean(t) for t in b.column(k).to_pylist()], pa.string()))
+            texts = b.column(k).to_pylist()
+            found = field.spans([t or "" for t in texts])[1]
+            yield b.set_column(k, "text", pa.array([None if t is None else clean(t, x) for t, x in zip(texts, found, strict=True)], pa.string()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of each document."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda kind: lambda x: x["kind"] == kind
