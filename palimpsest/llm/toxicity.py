@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from palimpsest.llm.common import slices
+from palimpsest.llm.common import slices, stage
 
 # Seed words of the categories, in chain order.
 SEEDS = {
@@ -97,14 +97,13 @@ class Linear:
 class Chain:
     """One Linear per category, in order."""
 
-    def __init__(self, docs: list[set[str]], toxic: np.ndarray, weight: np.ndarray):
-        """weight: how many labelled documents each one stands for, 1 on average."""
+    def __init__(self, docs: list[set[str]], marks: np.ndarray, fold: np.ndarray, weight: np.ndarray):
+        """marks: a column per category; fold: of each document; weight: how many labelled
+        documents each one stands for, 1 on average."""
         self.models: list[Linear] = []
-        fold = np.arange(len(docs)) % FOLDS
         earlier = np.zeros((len(docs), 0))
-        for name in CATEGORIES:
-            seeds = set(SEEDS.get(name, ()))
-            y = np.array([bool(t) and (not seeds or bool(seeds & d)) for t, d in zip(toxic, docs, strict=True)], dtype=bool)
+        for c, name in enumerate(CATEGORIES):
+            y = marks[:, c]
             self.models.append(Linear(docs, earlier, y, weight))
             if name == CATEGORIES[-1]:
                 break
@@ -122,6 +121,34 @@ class Chain:
             done = np.column_stack((done, m.probabilities(docs, done)))
         return done
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the sample's texts, and which categories each belongs to."""
+    for b in slices(batches, "text"):
+        found = [features(t or "") for t in b.column("text").to_pylist()]
+        toxic = b.column("toxic").to_pylist()
+        marks = [pa.array([int(bool(t) and (c not in SEEDS or not f.isdisjoint(SEEDS[c]))) for t, f in zip(toxic, found, strict=True)], pa.int64()) for c in CATEGORIES]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *marks, pa.array([sorted(f) for f in found], pa.list_(pa.string()))], names=["doc_id", *CATEGORIES, "features"])
+
+def _vocabulary(sample: DataFrame) -> set[str]:
+    """Features that some model of the chain may choose: those whose z score is high enough
+    for a category over all of the sample or without a fold."""
+    parts = [F.lit(True), *[F.col("fold") != k for k in range(FOLDS)]]
+    sums = [F.sum(p.cast("bigint")).alias(f"n{k}") for k, p in enumerate(parts)]
+    sums += [F.sum(F.when(p, F.col(c)).otherwise(0)).alias(f"n{k}_{c}") for k, p in enumerate(parts) for c in CATEGORIES]
+    all_of = sample.agg(*sums).first()
+    each = sample.select("fold", *CATEGORIES, F.explode("features").alias("feature")).groupBy("feature").agg(*sums)
+    high = F.lit(False)
+    for k in range(len(parts)):
+        n = all_of[f"n{k}"] or 0
+        for c in CATEGORIES:
+            n1 = all_of[f"n{k}_{c}"] or 0
+            if 0 < n1 < n:
+                a, m = F.col(f"n{k}_{c}"), F.col(f"n{k}")
+                p = m / n
+                z = F.abs(a / n1 - (m - a) / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
+                high = high | ((m >= 3) & (m < n) & (z >= LEAST_Z - 1e-6))
+    return {r["feature"] for r in each.filter(high).select("feature").toLocalIterator()}
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """From at most `sample` labelled texts: half of them toxic where there are as many.
     Each half holds distinct texts, dealt by language (where docs has it) in proportion,
@@ -135,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     texts = keys.groupBy("doc_id").agg(F.min(F.struct("_text", "_lang")).alias("k"), F.max("toxic").alias("toxic"))
     texts = texts.groupBy("k._text").agg(F.max("toxic").alias("toxic"), F.min("k._lang").alias("_lang"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     found = {(r["toxic"], r["_lang"]): (r["texts"], r["n"]) for r in texts.groupBy("toxic", "_lang").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).collect()}
-    number = {t: sum(n for (c, _), (_, n) in found.items() if c == t) for t in (0, 1)}
+    number_of = {t: sum(n for (c, _), (_, n) in found.items() if c == t) for t in (0, 1)}
     parts = []
     for t in (0, 1):
         size = sum(k for (c, _), (k, _) in found.items() if c == t)
@@ -144,18 +171,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
                 most = k if size <= sample // 2 else max(1, k * (sample // 2) // size)
                 parts.append(texts.filter((F.col("toxic") == t) & F.col("_lang").eqNullSafe(F.lit(name))).orderBy(F.xxhash64("_text"), "_text").limit(most).select("doc_id", "_text", "toxic"))
     if not parts:
-        return Chain([], np.zeros(0, dtype=bool), np.zeros(0))
+        return Chain([], np.zeros((0, len(CATEGORIES)), dtype=bool), np.zeros(0), np.zeros(0))
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
     # at most `sample` rows, and one a language: broadcast to the texts
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(F.broadcast(chosen), ["doc_id", "_text"]).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    shared: dict[str, str] = {}  # one string per distinct feature, not one per document
-    sets = [{shared.setdefault(f, f) for f in features(r["text"] or "")} for r in rows]
-    toxic = np.array([r["toxic"] for r in rows], dtype=bool)
-    each = {t: number[t] / max(int((toxic == bool(t)).sum()), 1) for t in (0, 1)}
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(F.broadcast(chosen), ["doc_id", "_text"]).dropDuplicates(["doc_id"])
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in CATEGORIES)}, features array<string>"
+    marked = rows.select("doc_id", "text", "toxic").mapInArrow(_marked, schema)
+    marked = stage(marked.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))), "sample")
+    # texts stay in the tasks: the driver gets the features that count, as numbers
+    names = sorted(_vocabulary(marked))
+    place = {n: k for k, n in enumerate(names)}
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [[place[f] for f in row if f in place] for row in b.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(held, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], "held"])
+
+    order = ["doc_id", "fold", *CATEGORIES]
+    numbered = marked.select(*order, "features").mapInArrow(number, f"{schema.split(',')[0]}, fold long, {', '.join(f'{c} long' for c in CATEGORIES)}, held array<int>")
+    got = numbered.orderBy("doc_id").toArrow()
+    sets = [{names[k] for k in row.as_py()} for row in got.column("held")]
+    marks = np.column_stack([got.column(c).to_numpy() for c in CATEGORIES]).astype(bool)
+    toxic = marks[:, -1]
+    each = {t: number_of[t] / max(int((toxic == bool(t)).sum()), 1) for t in (0, 1)}
     weight = np.where(toxic, each[1], each[0])
-    return Chain(sets, toxic, weight / weight.mean())
+    return Chain(sets, marks, got.column("fold").to_numpy(), weight / weight.mean())
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs' columns with p_<category> for each category, and rejected.
