@@ -8,20 +8,12 @@ are in; a late event counts in the batch in which it arrives.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import memory
-
-
-def _folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from palimpsest.sources.shared import fresh_folder
 
 
 def stream_upsert_noop(spark: SparkSession, path: str, run: str = "user_id", value: str = "event_type", ts: str = "ts", tie: str = "event_id", base: str | None = None) -> DataFrame:
@@ -31,7 +23,7 @@ def stream_upsert_noop(spark: SparkSession, path: str, run: str = "user_id", val
     base: the folder of offsets and state. A later run with the same base goes on where
     the last one ended: each batch's state is a partition of its own, by batch number.
     Without any event the memory is empty."""
-    base = base or _folder(spark)
+    base = base or fresh_folder(spark, "stream")
     given = spark.read.parquet(path)
 
     def state(number: int | None = None) -> DataFrame | None:
