@@ -60,9 +60,15 @@ def separation_clean_docs(spark, sf_dir):
 
 
 sql("redacted_pages", "SELECT page_id, @SHAregexp_replace(url, '[?#].*$', ''@G)@HEX AS url_sha256, CAST(length(regexp_replace(html, '<[^>]*>', ''@G)) AS BIGINT) AS text_chars FROM {pages}")
-sql("call_plan", """WITH v AS (SELECT 'low' AS variant UNION ALL SELECT 'medium' UNION ALL SELECT 'high')
-SELECT r_name, n_name, variant, 'maintenance' AS kind FROM {region} JOIN {nation} ON n_regionkey = r_regionkey CROSS JOIN v
-UNION ALL SELECT r_name, n_name, variant, 'answer' AS kind FROM {region} JOIN {nation} ON n_regionkey = r_regionkey CROSS JOIN v""")
+@query("""WITH v AS (SELECT unnest(['low', 'medium', 'high']) AS variant) SELECT c_custkey, variant, 'maintenance' AS kind FROM customer CROSS JOIN v
+UNION ALL SELECT c_custkey, variant, 'answer' AS kind FROM customer CROSS JOIN v""")
+def call_plan(spark, sf_dir):
+    """A call of each kind for each scenario and variant."""
+    every = lambda *names: F.explode(F.array(*[F.lit(n) for n in names]))
+    plan = table(spark, sf_dir, "customer").select("c_custkey", every("low", "medium", "high").alias("variant"))
+    return plan.select("*", every("maintenance", "answer").alias("kind"))
+
+
 sql("plan_vs_archive", """SELECT coalesce(c_custkey, o_custkey) AS custkey, CASE WHEN o_custkey IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'unplanned' ELSE 'present' END AS status
 FROM {customer} FULL OUTER JOIN (SELECT DISTINCT o_custkey FROM {orders}) o ON c_custkey = o_custkey""")
 sql("set_equality", """WITH a AS (SELECT c_custkey AS k FROM {customer}), b AS (SELECT DISTINCT o_custkey AS k FROM {orders})
@@ -81,12 +87,13 @@ sql("replay_compare", """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10
 SELECT o.o_orderkey, CASE WHEN o_orderstatus IS NOT DISTINCT FROM status AND o_orderpriority IS NOT DISTINCT FROM priority THEN 'MATCH' ELSE 'MISMATCH' END AS outcome FROM {orders} o JOIN r ON o.o_orderkey = r.o_orderkey""")
 
 
-@query("""WITH d AS (SELECT n_regionkey, n_nationkey, sha256(CAST(n_nationkey AS VARCHAR) || '|' || n_name) AS h FROM nation)
-SELECT r_name, count(*) AS members, sha256(string_agg(h, ',' ORDER BY n_nationkey)) AS digest FROM d JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+@query("""WITH d AS (SELECT l_returnflag, l_orderkey // 256 AS part, sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey) AS h FROM lineitem)
+SELECT l_returnflag, part, count(*) AS members, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM d GROUP BY l_returnflag, part""")
 def row_digest_manifest(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").withColumn("h", F.sha2(F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name"), 256))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "h"))), lambda x: x["h"])
-    return n.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("members"), F.sha2(F.array_join(listed, ","), 256).alias("digest"))
+    """A digest of the rows of each part of a table; parts hold 256 keys, so none grows."""
+    fields = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.floor(F.col("l_orderkey") / 256).alias("part"), F.sha2(F.concat_ws("|", *fields), 256).alias("h"))
+    return rows.groupBy("l_returnflag", "part").agg(F.count("*").alias("members"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("digest"))
 
 
 @query("SELECT p_brand, count(DISTINCT p_type) AS types, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS inventory FROM part GROUP BY p_brand")
@@ -114,7 +121,7 @@ sql("audit_template", """WITH k AS (SELECT 'identity' AS chk, 1 AS need UNION AL
 SELECT doc_id, chk, CASE WHEN need = 0 AND toxic = 1 THEN 'NA' ELSE 'OPEN' END AS cell FROM {labels} CROSS JOIN k""")
 sql("distractor_roles", """WITH b AS (SELECT n_nationkey, n_regionkey, min(s_suppkey) AS s FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY 1, 2)
 SELECT a.n_regionkey, min(a.s) AS target, count(*) AS triples FROM b a JOIN b x ON a.n_regionkey = x.n_regionkey AND a.s <> x.s JOIN b y ON a.n_regionkey = y.n_regionkey AND y.s <> a.s AND y.s <> x.s GROUP BY 1""")
-sql("rotation_allocation", "SELECT n_nationkey, (n_nationkey + r_regionkey) % 5 AS slot, n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey")
+sql("rotation_allocation", "SELECT o_orderkey, (o_orderkey + o_custkey) % 5 AS slot, o_orderpriority FROM {orders}")
 sql("failure_taxonomy", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice < 1000 THEN 'TRANSPORT' WHEN o_orderstatus = 'F' THEN 'TERMINAL' WHEN o_orderpriority LIKE '1%' THEN 'ROUTING' WHEN o_totalprice > 300000 THEN 'ACCOUNTING' ELSE 'NONE' END AS failure FROM {orders}""")
 sql("unit_decision", """WITH a AS (SELECT l_orderkey, count(*) AS n, substr(max(lpad(CAST(l_linenumber AS VARCHAR(10)), 6, '0') || l_returnflag), 7, 1) AS last, bool_or(l_returnflag = 'A') AS passed FROM {lineitem} GROUP BY l_orderkey)
 SELECT l_orderkey, CASE WHEN passed THEN 'ACCEPT' WHEN last = 'R' AND n < 3 THEN 'RETRY' WHEN n >= 3 THEN 'STOP' ELSE 'NEXT' END AS decision FROM a""")
