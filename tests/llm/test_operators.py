@@ -279,3 +279,15 @@ def test_pipeline_rows(spark):
 
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and len({r.doc_id for r in rows}) > 50
+
+
+def test_vocabulary_holds_every_feature_that_a_model_chooses(spark):
+    rows = [(i, i % 3, int(i % 4 == 0), int(i % 8 == 0), 0, ["all", f"w{i % 7}"] + ["bad"] * (i % 4 == 0) + ["worse"] * (i % 8 == 0) + ["fine"] * (i % 4 > 1)) for i in range(300)]
+    sample = spark.createDataFrame(rows, "doc_id long, fold long, toxic long, insult long, contempt long, features array<string>")
+    names = toxicity._vocabulary(sample)
+    sets, fold = [set(r[5]) for r in rows], np.array([r[1] for r in rows])
+    for column in (2, 3):
+        y = np.array([bool(r[column]) for r in rows])
+        for inside in (fold >= 0, *[fold != k for k in range(toxicity.FOLDS)]):
+            assert set(toxicity.choose([s for s, i in zip(sets, inside, strict=True) if i], y[inside])) <= names
+    assert {"bad", "worse", "fine"} <= names and "all" not in names
