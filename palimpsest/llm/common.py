@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rules: space and U+0009 to U+000D.
@@ -92,6 +92,29 @@ def group_min_back(df: DataFrame, key: str, value: Column, name: str, salts: int
     return group_back(df, key, F.min(value), F.min, name, salts)
 
 
+def sliced(df: DataFrame, name: str, *order: Column, rows: int = 1 << 16) -> DataFrame:
+    """df as a staged table with `_slice`: stretches of the order of about `rows` rows,
+    numbered in that order."""
+    count = max(1, -(-df.count() // rows))
+    cut = df.repartitionByRange(count, *order) if count > 1 else df.coalesce(1)
+    return stage(cut.withColumn("_slice", F.spark_partition_id()), name)
+
+
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], slice: str = "_slice") -> DataFrame:
+    """df with sums over the rows before each row of its key, in order, by name.
+
+    `slice` cuts a key's rows into stretches that follow each other: no task gets more of
+    a key than one slice, and of each slice one row is summed up over all slices. Keys
+    and slices are not null."""
+    local = Window.partitionBy(*by, slice).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy(slice).rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy(*by, slice).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    base = parts.select(*by, slice, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    within = df.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(n) for n, v in sums.items()])
+    whole = [(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums]
+    return within.join(base, [*by, slice]).select(*df.columns, *whole)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), by
     alternating large-star and small-star steps until nothing changes.

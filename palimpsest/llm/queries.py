@@ -11,6 +11,7 @@ from palimpsest.llm.chunk_codec import op10_bpe_codec
 from palimpsest.llm.discriminant import op3_quality_classifier
 from palimpsest.llm.embedding_dedup import op6_embedding_dedup
 from palimpsest.llm.jaccard_join import op9_ngram_jaccard_join
+from palimpsest.llm.mixing import op13_source_mix
 from palimpsest.llm.packing import op8_packing
 from palimpsest.llm.personal_data import op7_skip_chain_pii
 from palimpsest.llm.quality_rules import quality_rules
@@ -36,6 +37,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_bpe_codec": op10_bpe_codec,
+    "op13_source_mix": op13_source_mix,
 }
 
 _REVISITS = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
@@ -57,4 +59,22 @@ _SHINGLES = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(
  r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT r.a AS doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
 
-ORACLES: dict[str, str] = {"op1_warc": _REVISITS, "op6_embedding_dedup": _VECTORS, "op9_ngram_jaccard_join": _SHINGLES}
+_MIX = """WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+ r(given, weights, stopped, k) AS (SELECT CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), CAST(-1 AS HUGEINT), 0
+  UNION ALL SELECT t.given, t.weights, t.n, t.k FROM (SELECT r.k + 1 AS k, r.stopped, coalesce(sum(3 * source_size) FILTER (above), 0) AS given, coalesce(sum(w) FILTER (above), 0) AS weights, count(*) FILTER (above) AS n FROM
+   (SELECT r.*, s.*, 3 * s.source_size * (z.w - r.weights) < (z.words - r.given) * s.w AS above FROM r, s, (SELECT sum(source_size) AS words, sum(w) AS w FROM s) AS z) AS r GROUP BY r.k, r.stopped) AS t WHERE t.n > t.stopped),
+ e AS (SELECT given, weights FROM r ORDER BY k DESC LIMIT 1),
+ z AS (SELECT sum(source_size) AS words, sum(w) AS weights, greatest(1, CAST(floor(sqrt(CAST(sum(source_size) AS DOUBLE)) / 16) AS BIGINT)) AS block FROM s),
+ p AS (SELECT s.*, CASE WHEN 3 * source_size * (z.weights - e.weights) < (z.words - e.given) * w THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(z.words - e.given AS DOUBLE) / CAST(greatest(1, z.weights - e.weights) AS DOUBLE) * w END AS target FROM s, e, z),
+ n AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * source_size) AS need FROM p),
+ c AS (SELECT *, CAST(coalesce(sum(need) OVER (ORDER BY source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS low, CAST(sum(need) OVER () AS BIGINT) AS total FROM n),
+ i AS (SELECT i, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS x FROM (SELECT unnest(range((SELECT CAST(max(total) AS BIGINT) FROM c) // block + CAST((SELECT max(total) FROM c) % block > 0 AS BIGINT))) AS i FROM z)),
+ t AS (SELECT i, c.source, row_number() OVER (PARTITION BY c.source ORDER BY i) - 1 AS turn FROM i JOIN c ON need > 0 AND x >= CAST(low AS DOUBLE) / total AND (low + need >= total OR x < CAST(low + need AS DOUBLE) / total)),
+ a AS (SELECT d.doc_id, d.source, d.size, c.source_size, c.target, c.need, row_number() OVER () AS line, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+ u AS (SELECT *, unnest(range(3)) * source_size + place AS first FROM a WHERE size > 0),
+ v AS (SELECT line, source, unnest(range(first // block, (least(first + size, need) - 1) // block + 1)) AS turn, first, least(first + size, need) AS ends, block FROM u, z WHERE first < need),
+ q AS (SELECT line, CAST(sum(least(ends, (v.turn + 1) * block) - greatest(first, v.turn * block)) AS BIGINT) AS taken, min(coalesce(i, (SELECT count(*) FROM i) + v.turn)) AS first_slot FROM v LEFT JOIN t ON t.source IS NOT DISTINCT FROM v.source AND t.turn = v.turn GROUP BY line)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot FROM a LEFT JOIN q USING (line)"""
+
+ORACLES: dict[str, str] = {"op13_source_mix": _MIX, "op1_warc": _REVISITS, "op6_embedding_dedup": _VECTORS, "op9_ngram_jaccard_join": _SHINGLES}
