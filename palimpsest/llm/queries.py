@@ -13,6 +13,7 @@ from palimpsest.llm.embedding_dedup import op6_embedding_dedup
 from palimpsest.llm.jaccard_join import op9_ngram_jaccard_join
 from palimpsest.llm.mixing import op13_source_mix
 from palimpsest.llm.packing import op8_packing
+from palimpsest.llm.periodic_runs import op11_periodic_runs
 from palimpsest.llm.personal_data import op7_skip_chain_pii
 from palimpsest.llm.quality_rules import quality_rules
 from palimpsest.llm.token_files import op4_simple8b
@@ -37,6 +38,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_source_mix": op13_source_mix,
 }
 
