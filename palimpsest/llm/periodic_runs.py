@@ -163,16 +163,16 @@ def find_runs(ids: np.ndarray, longest: int | None = None) -> list[tuple[int, in
             block = min(size, LARGEST)
             seeds = [occurrences(ids, starts, block, low) for low in range(size, 2 * size, block)]
             s, d = np.concatenate([x[0] for x in seeds]), np.concatenate([x[1] for x in seeds])
-            # the first block of a chain stands for it
-            key = d * (n + 1) + s
-            own = ~np.isin(key - size, key)
-            s, d = s[own], d[own]
             # a run goes on for so many places at least
             need = (REPEATS - 1) * d - size + 1
             fits = s + d + need <= n
             s, d, need = s[fits], d[fits], need[fits]
             alike = (prefix[s + need] - prefix[s]) * power[d] == prefix[s + d + need] - prefix[s + d]
-            for i, q in zip(s[alike].tolist(), d[alike].tolist(), strict=True):
+            s, d = s[alike], d[alike]
+            # of the blocks of a run the first stands for it
+            key = d * (n + 1) + s
+            first = ~np.isin(key - size, key)
+            for i, q in zip(s[first].tolist(), d[first].tolist(), strict=True):
                 start = i - _reach(ids, i - 1, q, -1)
                 length = i + _reach(ids, i, q, 1) + q - start
                 if length >= max(LEAST, REPEATS * q):

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.chunk_codec import op10_bpe_codec
+from palimpsest.llm.conversation_trie import op12_conversation_trie
 from palimpsest.llm.discriminant import op3_quality_classifier
 from palimpsest.llm.embedding_dedup import op6_embedding_dedup
 from palimpsest.llm.jaccard_join import op9_ngram_jaccard_join
@@ -39,6 +40,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_bpe_codec": op10_bpe_codec,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_source_mix": op13_source_mix,
 }
 
@@ -79,4 +81,15 @@ _MIX = """WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_al
  q AS (SELECT line, CAST(sum(least(ends, (v.turn + 1) * block) - greatest(first, v.turn * block)) AS BIGINT) AS taken, min(coalesce(i, (SELECT count(*) FROM i) + v.turn)) AS first_slot FROM v LEFT JOIN t ON t.source IS NOT DISTINCT FROM v.source AND t.turn = v.turn GROUP BY line)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot FROM a LEFT JOIN q USING (line)"""
 
-ORACLES: dict[str, str] = {"op13_source_mix": _MIX, "op1_warc": _REVISITS, "op6_embedding_dedup": _VECTORS, "op9_ngram_jaccard_join": _SHINGLES}
+_TRIE = """WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ h AS (SELECT c, count(*) AS n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x = -1 THEN xor(a >> 1, 3988292384 * (a & 1)) ELSE xor(a, x) END), 4294967295) % 4 AS h FROM t GROUP BY c),
+ k AS (SELECT a.c, a.n, a.h, least(a.h, coalesce(b.n, 0)) AS k FROM h AS a LEFT JOIN h AS b ON b.c = a.c - a.c % 20),
+ r AS (SELECT k.c, pos + 1 AS d, role, text FROM k JOIN t ON t.c = k.c - k.c % 20 AND pos < h UNION ALL SELECT k.c, k + pos - h + 1, role, text FROM k JOIN t ON t.c = k.c AND pos >= h),
+ p AS MATERIALIZED (SELECT c, d, string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d) AS key, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS w, k + greatest(0, n - h) AS total FROM r JOIN k USING (c) UNION ALL SELECT c, 0, '', 0, k + greatest(0, n - h) FROM k),
+ n AS MATERIALIZED (SELECT key, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = total), '')) AS ends_sha256 FROM p GROUP BY key),
+ u AS MATERIALIZED (SELECT n.key, q.conv_id AS parent_conv_id, q.key AS parent FROM n JOIN p ON p.c = n.conv_id AND p.d = n.depth - 1 JOIN n AS q ON q.key = p.key),
+ m AS (SELECT parent AS key, count(*) AS n_children FROM u GROUP BY parent),
+ s AS (SELECT p.key, sum(n.saved) AS saved_tokens, count(*) FILTER (m.key IS NULL) AS n_leaves FROM n JOIN p ON p.c = n.conv_id AND p.d <= n.depth LEFT JOIN m ON m.key = n.key GROUP BY p.key)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256 FROM n JOIN s USING (key) LEFT JOIN u USING (key) LEFT JOIN m USING (key)"""
+
+ORACLES: dict[str, str] = {"op12_conversation_trie": _TRIE, "op13_source_mix": _MIX, "op1_warc": _REVISITS, "op6_embedding_dedup": _VECTORS, "op9_ngram_jaccard_join": _SHINGLES}
