@@ -66,20 +66,28 @@ class ChunkEncoder:
         head = b[: len(b) - len(right[-1])] if len(right) > words else b
         return tail, head
 
-    def agrees(self, a: str, b: str) -> bool:
-        """Whether the ids of a and b apart are those of a and b together."""
-        words = 1
-        while True:
-            pair = self._window(a, b, words)
-            if (same := self.joins.get(pair)) is None:
-                tail, head, both = self.pieces.encode([*pair, "".join(pair)])
-                same = np.array_equal(np.concatenate((tail, head)), both)
-                if len(self.joins) >= JOINS:
-                    self.joins.clear()
-                self.joins[pair] = same
-            if same or pair == (a, b):
-                return same
-            words *= 4
+    def settle(self, pairs: set[tuple[str, str]]) -> dict[tuple[str, str], bool]:
+        """Whether the ids of a and b apart are those of a and b together, for each pair.
+
+        The windows of all pairs are encoded in one call; pairs that disagree go on with
+        wider windows, at last with both chunks whole."""
+        out, open_pairs, words = {}, list(pairs), 1
+        if len(self.joins) >= JOINS:
+            self.joins.clear()
+        while open_pairs:
+            windows = [self._window(a, b, words) for a, b in open_pairs]
+            new = [w for w in dict.fromkeys(windows) if w not in self.joins]
+            coded = self.pieces.encode([t for a, b in new for t in (a, b, a + b)])
+            for k, w in enumerate(new):
+                self.joins[w] = np.array_equal(np.concatenate((coded[3 * k], coded[3 * k + 1])), coded[3 * k + 2])
+            wider = []
+            for pair, window in zip(open_pairs, windows, strict=True):
+                if self.joins[window] or window == pair:
+                    out[pair] = self.joins[window]
+                else:
+                    wider.append(pair)
+            open_pairs, words = wider, words * 4
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [chunks(t) for t in texts]
@@ -88,17 +96,19 @@ class ChunkEncoder:
         new = [c for c in {c for x in cut for c in x} if c not in self.known]
         self.known.update(zip(new, self.pieces.encode(new), strict=True))
         self.size += sum(map(len, new))
+        agree = self.settle({pair for x in cut for pair in zip(x, x[1:])})
         out = []
-        for text, x in zip(texts, cut, strict=True):
+        for x in cut:
             joined, ids = [x[0]], [self.known[x[0]]]
-            for c in x[1:]:
-                if self.agrees(joined[-1], c):
+            for before, c in zip(x, x[1:]):
+                # a repaired chunk ends as its last chunk does, but its join is held anew
+                if agree[before, c] if joined[-1] is before else self.settle({(joined[-1], c)})[joined[-1], c]:
                     joined.append(c)
                     ids.append(self.known[c])
                 else:  # repair: the two chunks as one, which the chunks before must agree with
                     joined[-1] += c
                     ids[-1] = self.whole(joined[-1])
-                    while len(joined) > 1 and not self.agrees(joined[-2], joined[-1]):
+                    while len(joined) > 1 and not self.settle({(joined[-2], joined[-1])})[joined[-2], joined[-1]]:
                         joined[-2:] = [joined[-2] + joined[-1]]
                         ids[-2:] = [self.whole(joined[-1])]
             out.append(np.concatenate(ids))
