@@ -67,12 +67,13 @@ def write_warc(pages: DataFrame, path: str, compression: str = "gzip") -> None:
 def _reached(pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidates of one file that the chain from offset 0 reaches, by pointer jumping:
     in each round the reached set takes in what its pointers lead to, and each pointer
-    is replaced by its pointer's pointer. `owner` is the last reached offset at or
+    is replaced by its pointer's pointer. Pointers that do not lead on are none, so each
+    ends within log2(n) + 1 rounds. `owner` is the last reached offset at or
     before a candidate; `split` says that the owner is no complete stretch by itself."""
     pdf = pdf.sort_values("offset", ignore_index=True)
     at, n = pdf["offset"].to_numpy(), len(pdf)
     where = np.searchsorted(at, pdf["successor"].to_numpy())
-    hit = (where < n) & (at[np.minimum(where, n - 1)] == pdf["successor"].to_numpy())
+    hit = (where < n) & (at[np.minimum(where, n - 1)] == pdf["successor"].to_numpy()) & (pdf["successor"].to_numpy() > at)
     jump = np.append(np.where(hit, where, n), n)  # n: the end of the chain
     reached = np.zeros(n + 1, dtype=bool)
     reached[0] = at[0] == 0
@@ -99,7 +100,8 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     # an archive begins with a version line: before it stands an empty stretch
     df = df.withColumn("head", F.substring_index("value", RECORD_END, 1))
     field = lambda name: F.regexp_extract("head", rf"(?im)^{name}: *([^\r\n]*)", 1)
-    df = df.withColumn("length", field("Content-Length").try_cast("bigint"))
+    # a length is digits alone, so that each successor lies behind its candidate
+    df = df.withColumn("length", F.regexp_extract("head", r"(?im)^Content-Length: *(\d{1,15})[ \t]*\r?$", 1).try_cast("bigint"))
     headed = F.col("value").contains(RECORD_END)
     df = df.withColumn("need", F.when(headed, mark + _octets(F.col("head")) + end + F.col("length") + end))
     df = df.withColumn("whole", F.coalesce(F.col("need") == F.col("size"), F.lit(False)))
