@@ -16,7 +16,7 @@ tasks as two arrays, so no document's n-grams are shuffled: only each task's own
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import dense, perhaps_in, stage, words
@@ -27,6 +27,8 @@ GROWTH = 256
 SMOOTHING = 1.0
 #: Share of the trusted documents (of 20 words on) below the cut.
 LOST = 0.02
+#: Steps of 1 in which scores are ranked for the cut, and compared with it.
+STEPS = 1_000_000
 #: Result columns.
 OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
@@ -161,8 +163,28 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int | None = None
     scored = stage(df.select("row", *OWN[:6], "_good", evidence.alias("llr")), "scores")
     trusted = scored.filter((F.col("_good") == 1) & (F.col("n_words") >= 20))
     # a document without evidence has 0 and is kept
-    cut = trusted.agg(F.least(F.coalesce(F.percentile_approx("llr", lost, 10_000), F.lit(0.0)), F.lit(0.0))).scalar()
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= cut)).select("row.*", *OWN)
+    cut = min(0, rank_cut(trusted.select(_step(F.col("llr")).alias("at")), lost))
+    return scored.withColumn("kept", ~F.col("base_failed") & (_step(F.col("llr")) >= cut)).select("row.*", *OWN)
+
+
+def _step(score: Column) -> Column:
+    return F.floor(score * STEPS)
+
+
+def rank_cut(steps: DataFrame, share: float) -> int:
+    """The smallest step (of steps: at, a whole number) that at least `share` of the rows do
+    not exceed, and one row at least; 0 without rows. Exact, by counts: first of thousands of
+    steps, of which scores have a bounded number, then of the steps in the one that is met."""
+    wide = F.floor(F.col("at") / 1000)
+    counts = steps.groupBy(wide.alias("w")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("w"))
+    need = F.greatest(F.lit(1), F.ceil(F.sum("n").over(Window.partitionBy()) * share))
+    met = counts.select("w", (upto - F.col("n")).alias("before"), upto.alias("upto"), need.alias("need")).filter("upto >= need").orderBy("w").first()
+    if met is None:
+        return 0
+    fine = steps.filter(wide == met["w"]).groupBy("at").agg(F.count("*").alias("n"))
+    ranked = fine.select("at", (F.sum("n").over(Window.orderBy("at")) + met["before"]).alias("upto"))
+    return ranked.filter(F.col("upto") >= met["need"]).agg(F.min("at")).first()[0]
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
