@@ -194,3 +194,66 @@ def test_mix_edges(spark):
     blank = spark.createDataFrame([(1, None, None), (2, "", "a")], none.schema)
     documents, pieces = mixing.mix(blank)
     assert [(d.target, d.source_size) for d in documents.collect()] == [(0.0, 0), (0.0, 0)] and pieces.count() == 0
+
+
+def test_lengths_that_do_not_lead_on_end(spark):
+    from palimpsest.llm import warc
+    from palimpsest.llm.common import fresh_path
+
+    marks = [f"WARC/1.0\r\nContent-Length: {n}\r\n\r\n" for n in ("-37", "0", "9" * 30, "9" * 18, "x", "", " 5 ")]
+    pages = [(k, "u", "<p>" + m * 3 + "end") for k, m in enumerate(marks)] + [(90, "u", "".join(marks)), (91, None, None), (None, "n", "null id"), (7, "r", "again"), (7, "r", "again")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    path = fresh_path(spark, "archives")
+    warc.write_warc(frame, path)
+    got = sorted(r.payload for r in warc.read_warc(spark, path).select("payload").collect())
+    assert got == sorted(p[2] or "" for p in pages)
+    warc.write_warc(frame.limit(0), path := fresh_path(spark, "archives"))
+    assert warc.read_warc(spark, path).count() == 0
+
+
+def test_rows_that_repeat_an_id_count_by_themselves(spark):
+    from palimpsest.llm import embedding_dedup
+
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (4, [1.0, 0.0]), (9, None)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (9, 0, 9, True)]
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("block", [16, 64])
+def test_blocks_lose_no_link(spark, block, monkeypatch):
+    from palimpsest.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 16))
+    x = np.concatenate([base, base + 0.08 * rng.standard_normal(base.shape), rng.standard_normal((180, 16)), base[:9]])
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    links = unit @ unit.T >= 0.95
+    np.fill_diagonal(links, False)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert [r.n_links for r in sorted(got)] == links.sum(1).tolist() and links.sum() > 60
+
+
+def test_the_cut_is_an_exact_rank(spark):
+    from palimpsest.llm.quality_rules import rank_cut
+
+    rng = random.Random(1)
+    steps = [rng.randint(-3_000_000, 900_000) for _ in range(1500)] + [-5] * 400
+    frame = spark.createDataFrame([(s,) for s in steps], "at long").repartition(5)
+    for share in (0.0, 0.02, 0.5, 0.9, 1.0):
+        assert rank_cut(frame, share) == sorted(steps)[max(1, int(np.ceil(share * len(steps)))) - 1]
+    assert rank_cut(frame.limit(0), 0.02) == 0
+
+
+def test_chunk_joins_of_a_batch_equal_the_tokenizer():
+    from palimpsest.llm.chunk_codec import ChunkEncoder
+    from palimpsest.llm.tokens import word_bpe
+
+    rng = random.Random(7)
+    parts = ["alpha", "beta,", "don't", "x..", "1,5", "é", "  ", "\n", "İ", "\t", "ｆｏｏ", "<unk>", "...", "Wort­bruch"]
+    shared = " ".join(rng.choice(parts) for _ in range(300))
+    texts = [shared + " ".join(rng.choice(parts) for _ in range(rng.randint(0, 200))) for _ in range(40)] + ["", " ", "a"]
+    enc, tok = ChunkEncoder(), word_bpe().tok
+    for got, text in zip(enc.encode(texts), texts, strict=True):
+        assert got.tolist() == tok.encode(text, add_special_tokens=False).ids
