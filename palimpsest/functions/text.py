@@ -16,6 +16,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 #: White space among ASCII, as Python's str.strip sees it.
 ASCII_SPACE = "[\\x09-\\x0D\\x1C-\\x20]+"
+#: Letters, numbers and the underscore, as str.isalnum sees them.
+WORD_CHAR = "[\\p{L}\\p{N}_]"
 _WORD = re.compile(r"\w+")
 
 
@@ -24,9 +26,14 @@ def _scored(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFC", t).strip()).casefold(), na_action="ignore")
 
 
+def checked(text: str) -> str:
+    """normalize_check of one text, for use inside tasks."""
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).casefold().split())
+
+
 @F.pandas_udf(StringType())
 def _checked(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split()), na_action="ignore")
+    return texts.map(checked, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
@@ -72,7 +79,7 @@ def contains_expression(text: Column, expression: Column) -> Column:
     """Whether the normalised text holds the whole normalised expression, literally and
     between word bounds."""
     literal = F.replace(normalize_check(expression), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    return F.regexp_like(normalize_check(text), F.concat(F.lit("(?U)(?<!\\w)\\Q"), literal, F.lit("\\E(?!\\w)")))
+    return F.regexp_like(normalize_check(text), F.concat(F.lit(f"(?<!{WORD_CHAR})\\Q"), literal, F.lit(f"\\E(?!{WORD_CHAR})")))
 
 
 def overlap(a: Column, b: Column) -> Column:

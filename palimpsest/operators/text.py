@@ -1,10 +1,13 @@
-"""Word-bounded containment between two text columns, as an equi-join."""
+"""Word-bounded containment between two text columns: by an automaton over the needles, or,
+where these are too many to send to every worker, as an equi-join."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators import expressions
+
 #: Words of a join key.
 KEY_WORDS = 4
 
@@ -16,9 +19,20 @@ def fold(text: Column) -> Column:
 
 def contained(needles: DataFrame, hay: DataFrame, needle_id: str, hay_id: str, text: str = "text") -> DataFrame:
     """Distinct (needle_id, hay_id) where the folded hay holds the folded needle, word-bounded.
-
-    A needle's first words are its key; the hay's runs of as many words meet it by an
-    equi-join, so no text meets every other. Needles without a word match nothing."""
+    Needles without a word match nothing."""
+    n = needles.select(needle_id, fold(F.col(text)).alias("needle")).filter("needle != '  '")
+    if expressions.text_bytes(n, "needle") > expressions.INVENTORY_BYTES:
+        return contained_by_join(needles, hay, needle_id, hay_id, text)
+    listed = sorted(r.needle for r in n.select("needle").distinct().collect())
+    place = n.sparkSession.createDataFrame(list(enumerate(listed)), "_k long, needle string")
+    # spaces at both ends are the bounds
+    found = expressions.scan(hay.select(hay_id, fold(F.col(text)).alias("hay")), "hay", listed, bounded=False)
+    return found.join(n.join(place, "needle").select("_k", needle_id), "_k").select(needle_id, hay_id).distinct()
+
+
+def contained_by_join(needles: DataFrame, hay: DataFrame, needle_id: str, hay_id: str, text: str = "text") -> DataFrame:
+    """contained() for any number of needles. A needle's first words are its key; the hay's
+    runs of as many words meet it by an equi-join, so no text meets every other."""
     n = needles.select(needle_id, fold(F.col(text)).alias("needle")).withColumn("words", F.split(F.trim("needle"), " ")).filter("needle != '  '")
     h = hay.select(hay_id, fold(F.col(text)).alias("hay")).withColumn("words", F.split(F.trim("hay"), " "))
     pairs = None
