@@ -5,22 +5,29 @@ are refused. What a reply must look like is then a chain of JVM expressions.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
+#: The error codes of answers and decisions below.
 PARSED = (
     StructType().add("valid", "boolean").add("keys", ArrayType(StringType()))
     .add("kinds", MapType(StringType(), StringType())).add("texts", MapType(StringType(), StringType()))
 )
 
 
-def _refuse(name: str) -> None:
+def refuse_constant(name: str) -> None:
     raise ValueError(f"{name} is no JSON number")
 
 
+def whole_text(text: str) -> str:
+    """The text with each lone surrogate, which JSON can name but no text can hold, as U+FFFD."""
+    return text if text.isascii() else re.sub("[\ud800-\udfff]", "\ufffd", text)
+
+
 def _closed(pairs: list[tuple[str, object]]) -> dict:
     out = dict(pairs)
     if len(out) < len(pairs):
@@ -28,7 +35,7 @@ def _closed(pairs: list[tuple[str, object]]) -> dict:
     return out
 
 
-_DECODER = json.JSONDecoder(object_pairs_hook=_closed, parse_constant=_refuse)
+_DECODER = json.JSONDecoder(object_pairs_hook=_closed, parse_constant=refuse_constant)
 
 
 def _kind(value: object) -> str:
@@ -48,13 +55,15 @@ def _parse(raw: str | None) -> tuple | None:
         return False, None, None, None
     if not isinstance(value, dict):
         return True, None, None, None
-    return True, sorted(value), {k: _kind(v) for k, v in value.items()}, {k: v if isinstance(v, str) else json.dumps(v) for k, v in value.items()}
+    named = {whole_text(k): v for k, v in value.items()}
+    return True, sorted(named), {k: _kind(v) for k, v in named.items()}, {k: whole_text(v) if isinstance(v, str) else json.dumps(v) for k, v in named.items()}
 
 
 @F.pandas_udf(PARSED)
 def parse_strict(raw: pd.Series) -> pd.DataFrame:
     """valid (null for null); of an object its sorted keys, and by key the kind of value
-    (text, blank, null, boolean, number, object, array) and its text."""
+    (text, blank, null, boolean, number, object, array) and its text; a lone surrogate in it
+    becomes U+FFFD."""
     return pd.DataFrame([_parse(r) for r in raw], columns=["valid", "keys", "kinds", "texts"])
 
 

@@ -54,3 +54,35 @@ def execute(initial: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFr
         "run", "entry_id", F.col("idx").alias("created_idx"), F.coalesce("updated_idx", "idx").alias("updated_idx"), F.coalesce("new_text", "text").alias("text")
     )
     return memory, executed, errors
+
+
+def versions(events: DataFrame, run: str, key: str, value: str, order: str) -> DataFrame:
+    """(run, key, value, created, since, until) of a keyed state along a run: a row for each
+    change of a key's value, which holds from the event `since` up to the one before
+    `until` (null: to the end). created is the key's first event.
+
+    The state after any event is the rows with since <= event < until: states are joined,
+    not stored, so their size is that of the changes, however long a run is. order is unique
+    in a run."""
+    by = Window.partitionBy(run, key).orderBy(order)
+    changed = F.coalesce(~F.col(value).eqNullSafe(F.lag(value).over(by)) | (F.row_number().over(by) == 1), F.lit(True))
+    df = events.select(run, key, value, order, changed.alias("_c"), F.min(order).over(Window.partitionBy(run, key)).alias("created")).filter("_c")
+    return df.select(run, key, value, "created", F.col(order).alias("since"), F.lead(order).over(by).alias("until"))
+
+
+def state_at(states: DataFrame, probes: DataFrame, run: str, at: str) -> DataFrame:
+    """probes' columns with (key, value, created, since) of each entry of the state after the
+    event `at` of its run. Rows of states that a probe cannot see are left out by range."""
+    inside = (F.col("since") <= F.col(at)) & (F.col("until").isNull() | (F.col(at) < F.col("until")))
+    return probes.join(states, run).filter(inside).drop("until")
+
+
+def state_sizes(states: DataFrame, run: str, size: Column, at: str = "at") -> DataFrame:
+    """(run, at, entries, size) after each event that changes a run's state: running sums of
+    what its rows add when they come and take away when they end."""
+    sized = states.withColumn("_s", size)
+    born = sized.select(run, F.col("since").alias(at), F.when(F.col("since") == F.col("created"), 1).otherwise(0).alias("e"), F.col("_s").alias("s"))
+    ended = sized.filter("until is not null").select(run, F.col("until").alias(at), F.lit(0).alias("e"), (-F.col("_s")).alias("s"))
+    steps = born.unionByName(ended).groupBy(run, at).agg(F.sum("e").alias("e"), F.sum("s").alias("s"))
+    run_order = Window.partitionBy(run).orderBy(at)
+    return steps.select(run, at, F.sum("e").over(run_order).alias("entries"), F.sum("s").over(run_order).alias("size"))

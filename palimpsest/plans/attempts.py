@@ -70,18 +70,6 @@ def official_attempt(spark, sf_dir):
     return _units(spark, sf_dir).select("l_orderkey", F.size("tries").cast("bigint").alias("official"), F.forall(early, lambda t: t["http"] != 200).alias("accepted"))
 
 
-@query("""SELECT l_orderkey, count(*) AS calls, count(*) FILTER (WHERE l_linenumber % 3 = 0) AS unknown_usage, CAST(sum(CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END) AS BIGINT) AS known_tokens,
- count(*) FILTER (WHERE l_linenumber % 3 = 0) = 0 AS accounting_ok, CAST(max(l_quantity) AS BIGINT) AS slowest FROM lineitem GROUP BY l_orderkey""")
-def usage_accounting(spark, sf_dir):
-    """Usage that is not known is counted, not taken for nothing (null where none is known)."""
-    usage = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity"))
-    ok = usage.isNotNull() & (usage >= 0)
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("calls"), F.count_if(usage.isNull()).alias("unknown_usage"), F.sum(usage).cast("bigint").alias("known_tokens"),
-        F.bool_and(ok).alias("accounting_ok"), F.max("l_quantity").cast("bigint").alias("slowest"),
-    )
-
-
 @query("SELECT d.doc_id, CASE WHEN quality IS NOT NULL THEN 'primary' WHEN toxic IS NOT NULL OR d.doc_id % 2 = 0 THEN 'fallback' END AS resolved FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def primary_precedence(spark, sf_dir):
     """The primary where it is qualified, else the fallback where that is, else none."""

@@ -122,6 +122,3 @@ SELECT doc_id, chk, CASE WHEN need = 0 AND toxic = 1 THEN 'NA' ELSE 'OPEN' END A
 sql("distractor_roles", """WITH b AS (SELECT n_nationkey, n_regionkey, min(s_suppkey) AS s FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY 1, 2)
 SELECT a.n_regionkey, min(a.s) AS target, count(*) AS triples FROM b a JOIN b x ON a.n_regionkey = x.n_regionkey AND a.s <> x.s JOIN b y ON a.n_regionkey = y.n_regionkey AND y.s <> a.s AND y.s <> x.s GROUP BY 1""")
 sql("rotation_allocation", "SELECT o_orderkey, (o_orderkey + o_custkey) % 5 AS slot, o_orderpriority FROM {orders}")
-sql("failure_taxonomy", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice < 1000 THEN 'TRANSPORT' WHEN o_orderstatus = 'F' THEN 'TERMINAL' WHEN o_orderpriority LIKE '1%' THEN 'ROUTING' WHEN o_totalprice > 300000 THEN 'ACCOUNTING' ELSE 'NONE' END AS failure FROM {orders}""")
-sql("unit_decision", """WITH a AS (SELECT l_orderkey, count(*) AS n, substr(max(lpad(CAST(l_linenumber AS VARCHAR(10)), 6, '0') || l_returnflag), 7, 1) AS last, bool_or(l_returnflag = 'A') AS passed FROM {lineitem} GROUP BY l_orderkey)
-SELECT l_orderkey, CASE WHEN passed THEN 'ACCEPT' WHEN last = 'R' AND n < 3 THEN 'RETRY' WHEN n >= 3 THEN 'STOP' ELSE 'NEXT' END AS decision FROM a""")

@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from palimpsest.operators import memory
 from palimpsest.plans.events import _DUCK, indexed
+from palimpsest.functions.strict import whole_text
 from palimpsest.plans.registry import query, table
 
 # What the assistant says to each stored text, and the origin of the clock.
@@ -40,12 +41,15 @@ def request_prompts(spark, sf_dir):
     return n.withColumn("m", body).select("conv_id", "role", "n", F.array_join(F.transform("m", lambda x: x["content"]), "|").alias("prompt"))
 
 
-def _leaves(raw: str | None) -> list[str]:
-    out, left = [], [json.loads(raw)] if raw else []
+def _leaves(raw: str | None) -> list[str] | None:
+    try:
+        out, left = [], [json.loads(raw)] if raw else []
+    except (ValueError, RecursionError):
+        return None
     while left:
         value = left.pop()
         if isinstance(value, str):
-            out.append(value)
+            out.append(whole_text(value))
         elif isinstance(value, (dict, list)):
             left += value.values() if isinstance(value, dict) else value
     return sorted(out)
@@ -53,7 +57,7 @@ def _leaves(raw: str | None) -> list[str]:
 
 @F.pandas_udf(ArrayType(StringType()))
 def string_leaves(raw: pd.Series) -> pd.Series:
-    """All strings of a JSON value, at any depth, sorted."""
+    """All strings of a JSON value, at any depth, sorted; null for what is no JSON."""
     return raw.map(_leaves)
 
 

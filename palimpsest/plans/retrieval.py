@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import similarity
 from palimpsest.plans.registry import query, sql, table
 
 #: Tokens of a context, neighbours kept, and the share that must be retained.
@@ -69,15 +70,12 @@ def retained_fraction_by_budget(spark, sf_dir):
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The TOP nearest vectors of each query vector (ids divisible by 100), by cosine,
-    ties by the hash of the id. The query set meets all rows, row by row of the table;
-    the rank limit keeps TOP rows a query in each task before the shuffle."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("norm", F.greatest(F.sqrt(dot("e", "e")), F.lit(1e-12)))
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("q_label"), F.col("e").alias("q_e"), F.col("norm").alias("q_norm"))
-    scored = v.crossJoin(q).filter("vec_id <> q").select("q", "q_label", "vec_id", "label", (dot("e", "q_e") / (F.col("norm") * F.col("q_norm"))).alias("score"))
-    best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.sha2(F.col("vec_id").cast("string"), 256))
-    return scored.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= TOP)
+    ties by the hash of the id."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    near = similarity.top_k(v, v.filter("id % 100 = 0"), TOP)
+    label = lambda name, to: v.select(F.col("id").alias(name), F.col("label").alias(to))
+    both = near.withColumnsRenamed({"query": "q", "row": "vec_id"}).join(label("q", "q_label"), "q").join(label("vec_id", "label"), "vec_id")
+    return both.select("q", "q_label", "vec_id", "label", "score", "pos")
 
 
 _RANKED = f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.times import rfc3339_valid
 from palimpsest.operators import memory
 from palimpsest.plans.events import _DUCK, indexed
 from palimpsest.plans.registry import query, table
@@ -110,7 +111,7 @@ def rfc3339_validity(spark, sf_dir):
     """Timestamps with an offset parse; those without (every third here) do not count."""
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     given = F.when(F.col("event_id") % 3 == 0, iso).otherwise(F.concat(iso, F.lit("Z")))
-    ok = given.rlike("^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?(Z|[+-]\\d{2}:\\d{2})$") & F.try_to_timestamp(F.substring(given, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()
+    ok = rfc3339_valid(given)
     return table(spark, sf_dir, "events").select("event_id", F.concat(iso, F.lit("Z")).alias("semantic_time"), ok.alias("valid"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from palimpsest.functions.strict import refuse_constant, whole_text
+
 
 def canonical(*columns: str) -> Column:
     """Compact JSON of columns by name, nulls included."""
@@ -24,12 +26,17 @@ def publish(df: DataFrame, path: str, *by: str) -> None:
     df.select(*by, canonical(*rest).alias("value")).write.mode("errorifexists").partitionBy(*by).text(path)
 
 
+def _relative(spark: SparkSession, root: str, name: Column) -> Column:
+    """A file's path below root; root may be given with or without a scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    return F.substring(F.regexp_replace(name, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit(len(at) + 2), F.char_length(name))
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of each file under a folder, at any depth; paths are relative to it.
     A file is hashed in one task, which Spark allows up to 2 GB."""
-    name = path.rstrip("/").rpartition("/")[2]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.substring_index("path", f"/{name}/", -1).alias("path"), F.sha2("content", 256).alias("sha256"))
+    return files.select(_relative(spark, path, F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def write_manifest(spark: SparkSession, path: str, to: str) -> None:
@@ -61,12 +68,16 @@ def verify(spark: SparkSession, path: str, listed: str) -> DataFrame:
 
 
 def verified_rows(spark: SparkSession, path: str, listed: str, schema: str) -> DataFrame:
-    """Rows of publish()'s files whose hash the manifest vouches for."""
-    name = path.rstrip("/").rpartition("/")[2]
-    rows = spark.read.text(path).withColumn("path", F.substring_index(F.col("_metadata.file_path"), f"/{name}/", -1))
-    good = verify(spark, path, listed).filter("status = 'verified'").select("path")
-    by = [c for c in rows.columns if c not in ("value", "path")]
-    return rows.join(good, "path", "left_semi").select(*by, F.from_json("value", schema).alias("r")).select(*by, "r.*")
+    """Rows of publish()'s files whose hash the manifest vouches for. A file that rows come
+    from but that the folder's listing does not know fails the query: no row is lost by
+    its name alone."""
+    # the reader gives a file's address with its special characters encoded, once
+    address = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = spark.read.text(path).withColumn("path", _relative(spark, path, address))
+    status = F.coalesce("status", F.raise_error(F.concat(F.lit("no such file is listed: "), F.col("path"))).cast("string"))
+    rows = rows.join(verify(spark, path, listed), "path", "left").filter(status == "verified")
+    by = [c for c in rows.columns if c not in ("value", "path", "status")]
+    return rows.select(*by, F.from_json("value", schema).alias("r")).select(*by, "r.*")
 
 
 def complete_only(rows: DataFrame, planned: DataFrame, *key: str) -> DataFrame:
@@ -76,23 +87,27 @@ def complete_only(rows: DataFrame, planned: DataFrame, *key: str) -> DataFrame:
 
 
 def redact(raw: Column, keys: tuple[str, ...], secrets: tuple[str, ...]) -> Column:
-    """JSON without the members of these names at any depth, and with the secrets in its
-    strings replaced; canonical. What is no JSON becomes null, so that nothing leaks."""
+    """JSON without the members of these names at any depth, and with the secrets replaced in
+    its strings and in its members' names; canonical. What is no JSON becomes null, so that
+    nothing leaks; NaN and infinities are none. A lone surrogate becomes U+FFFD."""
+
+    def hide(text: str) -> str:
+        for s in secrets:
+            text = text.replace(s, "[REDACTED]")
+        return text
 
     def clean(value):
         if isinstance(value, dict):
-            return {k: clean(v) for k, v in value.items() if k.lower() not in keys}
+            return {hide(k): clean(v) for k, v in value.items() if k.lower() not in keys}
         if isinstance(value, list):
             return [clean(v) for v in value]
-        if isinstance(value, str):
-            for s in secrets:
-                value = value.replace(s, "[REDACTED]")
-        return value
+        return hide(value) if isinstance(value, str) else value
 
     def one(text: str) -> str | None:
         try:
-            return json.dumps(clean(json.loads(text)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
+            value = clean(json.loads(text, parse_constant=refuse_constant))
+            return whole_text(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+        except (ValueError, RecursionError):
             return None
 
     @F.pandas_udf(StringType())

@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from py4j.protocol import Py4JJavaError
 
 
+#: What a whole commit ends with.
+END = " committed"
+
+
 class Conflict(Exception):
     """Another writer has committed first."""
 
@@ -25,16 +29,16 @@ def _files(spark: SparkSession, path: str):
 
 
 def commits(spark: SparkSession, base: str) -> dict[int, str]:
-    """Folder by number of every whole commit (a commit that breaks off has no line end)."""
+    """Folder by number of every whole commit (a commit that breaks off lacks its END)."""
     fs, at = _files(spark, f"{base}/_commits")
     if not fs.exists(at):
         return {}
     names = [f.getPath().getName() for f in fs.listStatus(at)]
     if not (known := [n for n in names if n.isdecimal()]):
         return {}
-    lines = spark.read.option("wholetext", True).text([f"{base}/_commits/{n}" for n in known])
+    lines = spark.read.text([f"{base}/_commits/{n}" for n in known])
     rows = lines.selectExpr("value", "element_at(split(_metadata.file_path, '/'), -1) AS n").collect()
-    return {int(r.n): r.value[:-1] for r in rows if r.value.endswith("\n")}
+    return {int(r.n): r.value.removesuffix(END) for r in rows if r.value.endswith(END)}
 
 
 def last(spark: SparkSession, base: str) -> int:
@@ -50,7 +54,7 @@ def _commit(spark: SparkSession, base: str, number: int, folder: str) -> None:
         if "AlreadyExists" in failed.java_exception.getClass().getName():
             raise Conflict(f"commit {number} is taken") from failed
         raise
-    out.write(bytearray(f"{folder}\n", "utf-8"))
+    out.write(bytearray(f"{folder}{END}", "utf-8"))
     out.close()
 
 

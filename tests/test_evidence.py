@@ -32,3 +32,26 @@ def test_tampering_is_found_and_not_read(spark):
 def test_canonical_keeps_nulls_and_sorts(spark):
     row = spark.createDataFrame([(1, None, "x")], "b int, a string, c string").select(evidence.canonical("b", "c", "a").alias("j")).first()
     assert row.j == '{"a":null,"b":1,"c":"x"}'
+
+
+def test_no_row_is_lost_by_a_files_name(spark):
+    at = fresh_folder(spark, "evi dence+x")
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate(["a b", "c", "d%e", "f+g", "records", "é", "x=y", None])], "k string, v long")
+    evidence.publish(rows, f"{at}/records", "k")
+    evidence.write_manifest(spark, f"{at}/records", f"{at}/manifest")
+    assert {r.status for r in evidence.verify(spark, f"{at}/records", f"{at}/manifest").collect()} == {"verified"}
+    for root in (f"{at}/records", f"{at}/records/", f"{at}/records".removeprefix("file://")):
+        assert sorted(r.v for r in evidence.verified_rows(spark, root, f"{at}/manifest", "v bigint").collect()) == list(range(8))
+
+
+@pytest.mark.parametrize(
+    ("raw", "wanted"),
+    [
+        ('{"a": NaN, "sk-1": "sk-1"}', None), ('{"sk-1": "x sk-1"}', '{"[REDACTED]":"x [REDACTED]"}'), ('{"Key": 1, "b": [{"KEY": 2, "c": "\\ud800 é"}]}', '{"b":[{"c":"\ufffd é"}]}'),
+        ("[" * 50_000, None), ("1e999", None), ("", None), ('"sk-1"', '"[REDACTED]"'), (None, None),
+    ],
+)
+def test_redaction(spark, raw, wanted):
+    from pyspark.sql import functions as F
+
+    assert spark.createDataFrame([(raw,)], "r string").select(evidence.redact(F.col("r"), ("key",), ("sk-1",)).alias("x")).first().x == wanted
