@@ -26,7 +26,7 @@ def publish(df: DataFrame, path: str, *by: str) -> None:
     df.select(*by, canonical(*rest).alias("value")).write.mode("errorifexists").partitionBy(*by).text(path)
 
 
-def _relative(spark: SparkSession, root: str, name: Column) -> Column:
+def relative_path(spark: SparkSession, root: str, name: Column) -> Column:
     """A file's path below root; root may be given with or without a scheme."""
     at = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     return F.substring(F.regexp_replace(name, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit(len(at) + 2), F.char_length(name))
@@ -36,7 +36,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of each file under a folder, at any depth; paths are relative to it.
     A file is hashed in one task, which Spark allows up to 2 GB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(_relative(spark, path, F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
+    return files.select(relative_path(spark, path, F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def write_manifest(spark: SparkSession, path: str, to: str) -> None:
@@ -73,7 +73,7 @@ def verified_rows(spark: SparkSession, path: str, listed: str, schema: str) -> D
     its name alone."""
     # the reader gives a file's address with its special characters encoded, once
     address = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    rows = spark.read.text(path).withColumn("path", _relative(spark, path, address))
+    rows = spark.read.text(path).withColumn("path", relative_path(spark, path, address))
     status = F.coalesce("status", F.raise_error(F.concat(F.lit("no such file is listed: "), F.col("path"))).cast("string"))
     rows = rows.join(verify(spark, path, listed), "path", "left").filter(status == "verified")
     by = [c for c in rows.columns if c not in ("value", "path", "status")]
