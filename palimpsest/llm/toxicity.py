@@ -1,10 +1,12 @@
 """Toxicity: a chain of linear classifiers over categories.
 
-The labels give one mark, toxic. Finer categories come from it and a seed list: a
-toxic document belongs to each category of which it holds a seed word; the last
-category is toxic itself. The chain predicts the categories in order; each later
-logistic model has the earlier categories' probabilities among its inputs, and in
-training those are out-of-fold predictions, so it learns from honest probabilities.
+The labels give one mark, toxic. Finer categories are learned from it, in every language:
+the toxic texts of the sample are put into GROUPS groups by the words that set toxic texts
+apart, so that texts which are toxic by the same words share a group. A category is
+membership of a group; the last category is toxic itself. The chain predicts the
+categories in order; each later logistic model has the earlier categories' probabilities
+among its inputs, and in training those are out-of-fold predictions, so it learns from
+honest probabilities.
 
 The models are fitted on a bounded sample of labelled rows and then applied to every
 whole text. The sample may hold more toxic documents than the labels do; each row is
@@ -26,12 +28,9 @@ from pyspark.sql.types import StructType
 
 from palimpsest.llm.common import slices, stage
 
-# Seed words of the categories, in chain order.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "scum", "trash"),
-    "contempt": ("stupid", "pathetic", "worthless", "disgusting"),
-}
-CATEGORIES = (*SEEDS, "toxic")
+#: Groups of toxic texts, and the categories in chain order.
+GROUPS = 3
+CATEGORIES = (*[f"group_{k + 1}" for k in range(GROUPS)], "toxic")
 #: Labelled texts that the models are fitted on, at most (those of the smallest hashes).
 SAMPLE = 6000
 #: Folds of the out-of-fold predictions.
@@ -62,6 +61,38 @@ def choose(docs: list[set[str]], y: np.ndarray) -> list[str]:
             scored.append((-abs(z), f))
     return [f for _, f in sorted(scored)[:FEATURES]]
 
+def groups(docs: list[set[str]], toxic: np.ndarray, steps: int = 20) -> np.ndarray:
+    """Group of each document, -1 for those that are not toxic: spherical k-means over the
+    chosen features, from centres that lie farthest from each other. Larger groups come
+    first; toxic documents without such a feature are in the last one."""
+    out = np.full(len(docs), -1)
+    names = choose(docs, toxic) if 0 < toxic.sum() < len(toxic) else []
+    place = {f: k for k, f in enumerate(names)}
+    rows = np.flatnonzero(toxic)
+    x = np.zeros((len(rows), len(names)))
+    for k, row in enumerate(rows):
+        x[k, [place[f] for f in docs[row] & place.keys()]] = 1
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    some = np.flatnonzero(size[:, 0] > 0)
+    out[rows] = GROUPS - 1
+    if not len(some):
+        return out
+    u = x[some] / size[some]
+    centres = [u.mean(0)]
+    for _ in range(GROUPS - 1):
+        centres.append(u[np.argmin(np.max([u @ c for c in centres], axis=0))])
+    centres = np.array(centres)
+    for _ in range(steps):
+        near = np.argmax(u @ centres.T, axis=1)
+        for k in range(GROUPS):
+            if (near == k).any():
+                c = u[near == k].sum(0)
+                centres[k] = c / np.sqrt(c @ c)
+    order = np.argsort(-np.bincount(near, minlength=GROUPS), kind="stable")
+    out[rows[some]] = np.argsort(order)[near]
+    return out
+
+
 class Linear:
     """Logistic regression on chosen features and earlier probabilities; ridge penalty,
     fitted by damped Newton steps. One class alone gives that class's rate."""
@@ -122,31 +153,28 @@ class Chain:
         return done
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of the sample's texts, and which categories each belongs to."""
+    """Features of the sample's texts, with their marks."""
     for b in slices(batches, "text"):
-        found = [features(t or "") for t in b.column("text").to_pylist()]
-        toxic = b.column("toxic").to_pylist()
-        marks = [pa.array([int(bool(t) and (c not in SEEDS or not f.isdisjoint(SEEDS[c]))) for t, f in zip(toxic, found, strict=True)], pa.int64()) for c in CATEGORIES]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *marks, pa.array([sorted(f) for f in found], pa.list_(pa.string()))], names=["doc_id", *CATEGORIES, "features"])
+        found = [sorted(features(t or "")) for t in b.column("text").to_pylist()]
+        toxic = b.column("toxic").cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), toxic, pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "features"])
 
 def _vocabulary(sample: DataFrame) -> set[str]:
-    """Features that some model of the chain may choose: those whose z score is high enough
-    for a category over all of the sample or without a fold."""
+    """Features that the models of the chain choose from: those whose z score is high enough
+    for toxic over all of the sample or without a fold."""
     parts = [F.lit(True), *[F.col("fold") != k for k in range(FOLDS)]]
     sums = [F.sum(p.cast("bigint")).alias(f"n{k}") for k, p in enumerate(parts)]
-    sums += [F.sum(F.when(p, F.col(c)).otherwise(0)).alias(f"n{k}_{c}") for k, p in enumerate(parts) for c in CATEGORIES]
+    sums += [F.sum(F.when(p, F.col("toxic")).otherwise(0)).alias(f"t{k}") for k, p in enumerate(parts)]
     all_of = sample.agg(*sums).first()
-    each = sample.select("fold", *CATEGORIES, F.explode("features").alias("feature")).groupBy("feature").agg(*sums)
+    each = sample.select("fold", "toxic", F.explode("features").alias("feature")).groupBy("feature").agg(*sums)
     high = F.lit(False)
     for k in range(len(parts)):
-        n = all_of[f"n{k}"] or 0
-        for c in CATEGORIES:
-            n1 = all_of[f"n{k}_{c}"] or 0
-            if 0 < n1 < n:
-                a, m = F.col(f"n{k}_{c}"), F.col(f"n{k}")
-                p = m / n
-                z = F.abs(a / n1 - (m - a) / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
-                high = high | ((m >= 3) & (m < n) & (z >= LEAST_Z - 1e-6))
+        n, n1 = all_of[f"n{k}"] or 0, all_of[f"t{k}"] or 0
+        if 0 < n1 < n:
+            a, m = F.col(f"t{k}"), F.col(f"n{k}")
+            p = m / n
+            z = F.abs(a / n1 - (m - a) / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
+            high = high | ((m >= 3) & (m < n) & (z >= LEAST_Z - 1e-6))
     return {r["feature"] for r in each.filter(high).select("feature").toLocalIterator()}
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
@@ -177,8 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
         chosen = chosen.unionByName(p)
     # at most `sample` rows, and one a language: broadcast to the texts
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(F.broadcast(chosen), ["doc_id", "_text"]).dropDuplicates(["doc_id"])
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in CATEGORIES)}, features array<string>"
-    marked = rows.select("doc_id", "text", "toxic").mapInArrow(_marked, schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = rows.select("doc_id", "text", "toxic").mapInArrow(_marked, f"doc_id {kind}, toxic long, features array<string>")
     marked = stage(marked.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))), "sample")
     # texts stay in the tasks: the driver gets the features that count, as numbers
     names = sorted(_vocabulary(marked))
@@ -189,12 +217,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             held = [[place[f] for f in row if f in place] for row in b.column("features").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(held, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], "held"])
 
-    order = ["doc_id", "fold", *CATEGORIES]
-    numbered = marked.select(*order, "features").mapInArrow(number, f"{schema.split(',')[0]}, fold long, {', '.join(f'{c} long' for c in CATEGORIES)}, held array<int>")
+    order = ["doc_id", "fold", "toxic"]
+    numbered = marked.select(*order, "features").mapInArrow(number, f"doc_id {kind}, fold long, toxic long, held array<int>")
     got = numbered.orderBy("doc_id").toArrow()
     sets = [{names[k] for k in row.as_py()} for row in got.column("held")]
-    marks = np.column_stack([got.column(c).to_numpy() for c in CATEGORIES]).astype(bool)
-    toxic = marks[:, -1]
+    toxic = got.column("toxic").to_numpy().astype(bool)
+    group = groups(sets, toxic)
+    marks = np.column_stack([*[group == k for k in range(GROUPS)], toxic])
     each = {t: number_of[t] / max(int((toxic == bool(t)).sum()), 1) for t in (0, 1)}
     weight = np.where(toxic, each[1], each[0])
     return Chain(sets, marks, got.column("fold").to_numpy(), weight / weight.mean())
@@ -221,5 +250,6 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     return docs.mapInArrow(run, schema).withColumn("rejected", F.col("p_toxic") >= CUT)
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of each category and the verdict of each document, by score()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text", "lang")
