@@ -1,11 +1,13 @@
 """Personal data: base patterns and a skip-chain conditional random field.
 
 Base patterns mark emails, IP addresses, card and phone numbers. The field's nodes
-are the tokens of a text that hold a digit or an at sign; labels are none and the
-four kinds. Neighbouring tokens share a chain potential; tokens that repeat the same
-digits or address, however distant, share a skip potential, so one clear mention
-lends its label to its unclear copies. Potentials are trained piecewise, as log
-ratios of counts of the base labels over all documents; marginals come from loopy
+are the base spans, and of what is left of a text the tokens that hold a digit or an at
+sign, numbers written with single spaces being one; labels are none and the four kinds.
+Neighbouring nodes share a chain potential; nodes that repeat the same address or the
+same last digits, however distant, share a skip potential, so one clear mention lends its
+label to its unclear copies. Potentials are trained piecewise, as log
+ratios of counts of the base labels over all documents; a node without a base label that
+repeats a clear mention of its text is not known, rather than none, and is not counted; marginals come from loopy
 sum-product message passing over all texts of a batch at once.
 """
 
@@ -28,6 +30,9 @@ KINDS = ("email", "ip", "card", "phone")
 SHAPES = 2048
 #: Rounds of message passing, and share of the old message kept.
 ROUNDS, DAMPING = 8, 0.3
+#: Largest log ratio of a potential of two nodes, and edges that are counted beforehand, half
+#: of them as if labels were independent, half of equal labels.
+CLIP, PRIOR = 6.0, 20.0
 #: Edges whose messages are made at once: bounds their tables.
 EDGES = 1 << 16
 #: A token takes a kind from this marginal on.
@@ -40,6 +45,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _DIGITS = re.compile(r"[0-9]")
+_NUMERIC = re.compile(r"[0-9().+/-]+")
+#: Digits of a number written with spaces, at most, and digits that copies of one share.
+LONGEST, LAST = 20, 9
 
 
 def _luhn(digits: str) -> bool:
@@ -94,45 +102,77 @@ def _shape(token: str) -> int:
 
 
 def _key(token: str) -> str:
-    """What similar tokens share: an address in lower case, or at least three digits."""
+    """What similar mentions share: an address in lower case, four numbers with dots or commas
+    between, or the last LAST of at least three digits."""
     token = token.strip(".,;:!?()[]<>\"'")
     if "@" in token:
         return token.lower()
+    parts = re.split(r"[.,]", token)
+    if len(parts) == 4 and all(p.isdecimal() for p in parts):
+        return ".".join(parts)
     digits = re.sub(r"[^0-9]", "", token)
-    return digits if len(digits) >= 3 else ""
+    return digits[-LAST:] if len(digits) >= 3 else ""
+
+
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, label) of a text's nodes in order: the base spans, of overlapping ones the
+    first, and tokens beside them; numeric tokens with single spaces between are one."""
+    taken: list[tuple[int, int, int]] = []
+    for s, e, k in sorted((s, e, k) for k, s, e in spans):
+        if not taken or s >= taken[-1][1]:
+            taken.append((s, e, k + 1))
+    out, at, digits = [], 0, 0  # digits of the last node, where it is a number to be joined
+    for m in _TOKEN.finditer(text):
+        s, e = m.start(), m.end()
+        while at < len(taken) and taken[at][1] <= s:
+            out.append(taken[at])
+            at, digits = at + 1, 0
+        if at < len(taken) and taken[at][0] < e:  # a base span, or what stands around one
+            continue
+        mine = len(_DIGITS.findall(m.group())) if _NUMERIC.fullmatch(m.group().rstrip(".,;:!?")) else 0
+        if mine and digits and out[-1][1] + 1 == s and text[s - 1] == " " and digits + mine <= LONGEST:
+            out[-1] = (out[-1][0], e, 0)
+            digits += mine
+        else:
+            out.append((s, e, 0))
+            digits = mine
+        if m.group()[-1] in ".,;:!?":
+            digits = 0
+    return [*out, *taken[at:]]
 
 
 class Graph:
-    """Tokens of several texts with their base labels, chain edges and skip edges."""
+    """Mentions of several texts with their base labels, chain edges and skip edges."""
 
     def __init__(self, texts: list[str], bases: list[list[tuple[int, int, int]]]):
-        self.text, self.start, self.end, self.label, shapes = [], [], [], [], []
+        self.text, self.start, self.end, self.label, shapes, known = [], [], [], [], [], []
         edges: dict[int, list[tuple[int, int]]] = {0: [], 1: []}
         for number, (text, spans) in enumerate(zip(texts, bases, strict=True)):
             if "@" not in text and not _DIGITS.search(text):
                 continue
             last: dict[str, int] = {}
-            before, by_start, at, held = -9, sorted((s, e, k) for k, s, e in spans), 0, []
-            for m in _TOKEN.finditer(text):
-                node, s, e = len(self.start), m.start(), m.end()
-                while at < len(by_start) and by_start[at][0] < e:
-                    held.append(by_start[at])
-                    at += 1
-                held = [x for x in held if x[1] > s]
+            before, first, clear, keys = -9, len(self.start), set(), []
+            for s, e, label in mentions(text, spans):
+                node, said = len(self.start), text[s:e].strip(".,;:!?()[]<>\"'")
                 self.text.append(number)
                 self.start.append(s)
                 self.end.append(e)
-                self.label.append(held[0][2] + 1 if held else 0)
-                shapes.append(_shape(m.group()))
+                self.label.append(label)
+                shapes.append(_shape(said))
                 if s - before <= 1:
                     edges[0].append((node - 1, node))
-                if key := _key(m.group()):
+                keys.append(key := _key(said))
+                if key:
                     if key in last:
                         edges[1].append((last[key], node))
                     last[key] = node
+                    if label:
+                        clear.add(key)
                 before = e
+            known += [label > 0 or key not in clear for label, key in zip(self.label[first:], keys, strict=True)]
         self.shape = np.array(shapes, dtype=np.int64)
         self.labels = np.array(self.label, dtype=np.int64)
+        self.known = np.array(known, dtype=bool)
         self.edges = {k: np.array(v, dtype=np.int64).reshape(-1, 2) for k, v in edges.items()}
 
 
@@ -142,8 +182,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
         texts = [t or "" for t in b.column("text").to_pylist()]
         g = Graph(texts, [base_spans(t) for t in texts])
-        np.add.at(unary, (g.shape, g.labels), 1)
+        np.add.at(unary, (g.shape[g.known], g.labels[g.known]), 1)
         for k, e in g.edges.items():
+            e = e[g.known[e].all(1)]
             np.add.at(pair[k], (g.labels[e[:, 0]], g.labels[e[:, 1]]), 1)
     flat = np.concatenate((unary.ravel(), pair.ravel()))
     at = np.flatnonzero(flat)
@@ -161,10 +202,11 @@ class Field:
         unary, pair = flat[: SHAPES * n].reshape(SHAPES, n), flat[SHAPES * n :].reshape(2, n, n)
         self.unary = np.log((unary + 0.5) / (unary.sum(1, keepdims=True) + 0.5 * n))
         self.pair = []
+        share = (unary.sum(0) + 1.0) / (unary.sum() + n)  # of each label among all nodes
         for p in pair:  # log ratio of joint to independent: what an edge adds to its ends
-            p = p + p.T + 1.0 + 4 * np.eye(n)
+            p = p + p.T + PRIOR * (share[:, None] * share[None, :] + np.diag(share))
             p /= p.sum()
-            self.pair.append(np.clip(np.log(p / (p.sum(1)[:, None] * p.sum(0)[None, :])), -4, 4))
+            self.pair.append(np.clip(np.log(p / (share[:, None] * share[None, :])), -CLIP, CLIP))
 
     def marginals(self, g: Graph) -> np.ndarray:
         n, out = len(KINDS) + 1, self.unary[g.shape].copy()
@@ -212,7 +254,7 @@ class Field:
                         s += 1
                     while e > s and texts[text][e - 1] in ".,;:!?)]>\"'":
                         e -= 1
-                    if s < e and not any(a < e and s < b for _, a, b in found[text]):
+                    if s < e:  # nodes beside the base spans overlap with nothing
                         found[text].append((kind, s, e))
                     run = None
                 if node is not None:
@@ -222,7 +264,8 @@ class Field:
 
 def find(docs: DataFrame) -> DataFrame:
     """docs' columns with base and spans: arrays of (kind, start, end), code points,
-    end exclusive, by kind as in KINDS, then start.
+    end exclusive, by kind as in KINDS, then start. A very long text is taken whole: its
+    mentions and their edges stay in memory, at some 400 bytes each.
 
     A null text has no spans; repeated rows each keep their row; columns of docs named
     base or spans are replaced; an empty table gives no rows."""
