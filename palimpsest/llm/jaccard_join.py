@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import connected_components, group_back, group_min_back, perhaps_in, slices, spanning, stage
+from palimpsest.llm.common import SPACE, connected_components, group_back, group_min_back, perhaps_in, slices, spanning, stage
 
 #: Buckets of the shingle counts, at least and at most (16 MB are broadcast then), and bytes
 #: of text for each. A smaller sketch makes prefixes less rare, and changes no result.
@@ -303,20 +303,23 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """One row of docs for each component: that of its smallest doc_id.
 
     Of rows that repeat that id, the one with the smallest text stays. Rows with a null id
-    take part by their texts, behind all others. Documents without words are all kept
-    (one row an id). All of docs' columns stay as they are."""
+    take part by their texts, behind all others; those without a word are all kept, as are
+    other documents without words (one row an id). Ids lie below 2^62. All of docs' columns
+    stay as they are; an empty table gives no rows."""
     key = "_key"
     while key in docs.columns:
         key += "_"
     # beyond any id in use, the same for equal texts
     stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), stand_in).alias(key), F.struct("*").alias("row"))
+    nameless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(f"[^{SPACE[1:-1]}]"), F.lit(False))
+    keyed = docs.filter(~nameless).select(F.coalesce(F.col("doc_id").cast("bigint"), stand_in).alias(key), F.struct("*").alias("row"))
     found = similar_documents(keyed.select(F.col(key).alias("doc_id"), "row.text"), k, num, den)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     one = keyed.join(kept.hint("merge"), key, "left_semi").groupBy(key).agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
-    return one.select("row.*")
+    return one.select("row.*").unionByName(docs.filter(nameless))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_shingles and component_id of each document: three-word shingles, 0.9."""
+    """n_shingles and component_id of each document, by similar_documents(): three-word
+    shingles, 0.9."""
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)
