@@ -145,6 +145,8 @@ def encode_decode(docs: DataFrame) -> DataFrame:
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of ids, and digests of ids and decoded text, of each document, by
+    encode_decode()."""
     out = encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),

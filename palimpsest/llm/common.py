@@ -119,7 +119,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), by
     alternating large-star and small-star steps until nothing changes.
 
-    Nodes without an edge do not appear. Each half step is a salted group minimum,
+    Nodes without an edge do not appear, nor does what only links with itself; a null end is
+    no link; repeated edges count once; no edges give no rows. Each half step is a salted group minimum,
     so a hub with a third of all edges is spread over tasks; every round is written
     to the shared folder; rounds halve depth, so few are needed at any size."""
     cur = stage(

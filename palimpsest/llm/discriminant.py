@@ -106,7 +106,11 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of docs (doc_id, text)."""
+    """(doc_id, held_out, score, predicted) of each row of docs (doc_id, text).
+
+    A null or empty text has a score as every text has; without labels of both classes every
+    score is 0.5. Null and repeated ids each keep their row (a null id is not learned from);
+    other columns are ignored; an empty table gives no rows. A very long text is one row."""
     stats = stage(statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
     model = fit(stats, labels)
 
@@ -120,4 +124,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """held_out, score and predicted of each document, by score_documents()."""
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

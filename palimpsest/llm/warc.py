@@ -156,6 +156,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each record
+    that read_warc() finds in the archives that write_warc() has made of all pages."""
     path = fresh_path(spark, "archives")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     records = read_warc(spark, path)
