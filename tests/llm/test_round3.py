@@ -257,3 +257,48 @@ def test_chunk_joins_of_a_batch_equal_the_tokenizer():
     enc, tok = ChunkEncoder(), word_bpe().tok
     for got, text in zip(enc.encode(texts), texts, strict=True):
         assert got.tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_a_clear_mention_lends_its_label_to_unclear_copies(spark):
+    from palimpsest.llm import personal_data
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    phone = lambda: f"+{rng.randint(1, 99)} {rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}"
+    filler = lambda: " ".join(word() if rng.random() < 0.8 else str(rng.randint(1, 99)) for _ in range(40))
+    rows, copies, alone = [], {}, {}
+    for k in range(300):
+        p, text = phone(), filler()
+        if k % 3 == 0:  # clear twice: what the field learns from
+            text += f" call {p} now {filler()} again {p} {filler()}"
+        elif k % 3 == 1:  # clear once, and a copy whose start is masked
+            copies[k] = p.split(" ", 1)[1]
+            text += f" call {p} now {filler()} or {copies[k]} then {filler()}"
+        else:  # masked alone
+            alone[k] = p.split(" ", 1)[1]
+            text += f" code {alone[k]} then {filler()}"
+        rows.append((k, text))
+    found = {r.doc_id: r for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    marked = lambda k, said: any(x.kind == "phone" and rows[k][1][x.start : x.end].strip() == said for x in found[k].spans)
+    assert sum(marked(k, said) for k, said in copies.items()) >= 0.95 * len(copies)
+    assert sum(marked(k, said) for k, said in alone.items()) <= 0.05 * len(alone)
+    assert all([(x.kind, x.start, x.end) for x in r.base] == [(personal_data.KINDS[k], s, e) for k, s, e in personal_data.base_spans(rows[r.doc_id][1])] for r in found.values())
+
+
+def test_groups_of_toxic_texts_need_no_word_list():
+    from palimpsest.llm import toxicity
+
+    rng = random.Random(12)
+    bad = [["aaaa", "aabb", "aacc"], ["éé1", "éé2", "éé3"], ["зло1", "зло2", "зло3"]]
+    docs, toxic, kind = [], [], []
+    for k in range(600):
+        text = {rng.choice("lmnopqrstuv") for _ in range(6)}
+        toxic.append(k % 4 == 0)
+        kind.append(rng.choice([0, 0, 0, 1, 1, 2]) if toxic[-1] else -1)
+        docs.append(text | (set(rng.sample(bad[kind[-1]], 2)) if toxic[-1] else set()))
+    assert toxicity.groups(docs, np.array(toxic)).tolist() == kind
+    assert toxicity.groups(docs, np.zeros(600, dtype=bool)).tolist() == [-1] * 600
+    fold = np.arange(600) % toxicity.FOLDS
+    marks = np.column_stack([*[np.array(kind) == k for k in range(toxicity.GROUPS)], toxic])
+    p = toxicity.Chain(docs, marks, fold, np.ones(600)).predict([{"éé1", "éé2", "l"}, {"l", "m"}, {"зло1", "зло3"}])
+    assert p[0, 1] > 0.5 > p[0, 0] and p[0, -1] > 0.5 > p[1, -1] and p[2, 2] > 0.5
