@@ -22,6 +22,13 @@ from palimpsest.functions.text import checked, normalize_check
 INVENTORY_BYTES = 16 << 20
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where it has fewer: a table of one small
+    file is one task's work else. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_bytes(texts: DataFrame, column: str) -> int:
     return texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
@@ -99,7 +106,7 @@ def matches(texts: DataFrame, expressions: DataFrame, text: str = "text", expres
     # the spelling of each listed form, by its place
     place = spark.createDataFrame(list(enumerate(listed)), "_k long, n string") if listed else spark.createDataFrame([], "_k long, n string")
     spelt = given.withColumn("n", normalize_check(F.col("e"))).join(place, "n").select("_k", F.col("e").alias(expression))
-    return scan(texts, text, listed, bounded, checked).join(spelt, "_k").drop("_k")
+    return scan(spread(texts), text, listed, bounded, checked).join(spelt, "_k").drop("_k")
 
 
 def overlapping(expressions: DataFrame, expression: str = "expression") -> DataFrame:

@@ -26,7 +26,8 @@ def contained(needles: DataFrame, hay: DataFrame, needle_id: str, hay_id: str, t
     listed = sorted(r.needle for r in n.select("needle").distinct().collect())
     place = n.sparkSession.createDataFrame(list(enumerate(listed)), "_k long, needle string")
     # spaces at both ends are the bounds
-    found = expressions.scan(hay.select(hay_id, fold(F.col(text)).alias("hay")), "hay", listed, bounded=False)
+    folded = expressions.spread(hay.select(hay_id, text)).select(hay_id, fold(F.col(text)).alias("hay"))
+    found = expressions.scan(folded, "hay", listed, bounded=False)
     return found.join(n.join(place, "needle").select("_k", needle_id), "_k").select(needle_id, hay_id).distinct()
 
 

@@ -1,8 +1,9 @@
 """Upsert with no-op as a stream: the same result as the batch aggregate.
 
 A file stream of events is folded micro-batch by micro-batch: each batch's per-key
-partial (first time, last change, last value) is merged with the state table by one
-aggregate. Events of a key must not arrive before older ones of an earlier batch
+partial (first time, last change, last value) is merged with what the state holds of those
+keys. A batch writes the keys that it has touched and no others; the state is the last row
+of each key. Events of a key must not arrive before older ones of an earlier batch
 are in; a late event counts in the batch in which it arrives.
 """
 
@@ -21,24 +22,28 @@ def stream_upsert_noop(spark: SparkSession, path: str, run: str = "user_id", val
     and return the final memory.
 
     base: the folder of offsets and state. A later run with the same base goes on where
-    the last one ended: each batch's state is a partition of its own, by batch number.
-    Without any event the memory is empty."""
+    the last one ended: the keys of each batch are a partition of their own, by batch number,
+    so a batch that is run again writes the same partition from the same rows. Without any
+    event the memory is empty."""
     base = base or fresh_folder(spark, "stream")
     given = spark.read.parquet(path)
 
-    def state(number: int | None = None) -> DataFrame | None:
-        """The state after a batch, or after the last one."""
+    def state(before: int | None = None) -> DataFrame | None:
+        """The last row of each key, or the last one that was written before a batch."""
         try:
             every = spark.read.option("basePath", f"{base}/state").parquet(f"{base}/state")
         except AnalysisException:  # no batch so far
             return None
-        last = every.agg(F.max("batch")).first()[0] if number is None else number
-        return every.filter(F.col("batch") == F.lit(last)).drop("batch")
+        every = every if before is None else every.filter(F.col("batch") < F.lit(before))
+        return every.groupBy(run).agg(F.max_by(F.struct("created", "updated", "text"), "batch").alias("s")).select(run, "s.*")
 
     def fold(batch: DataFrame, number: int) -> None:
-        """State and batch together, older first, through the batch definition."""
+        """The batch's keys with what is held of them, older first, through the batch
+        definition."""
         new = batch.select(run, value, ts, tie, F.lit(None).cast(given.schema[ts].dataType).alias("created"))
-        if number and (held := state(number - 1)) is not None:
+        if number and (held := state(number)) is not None:
+            keys = batch.select(F.col(run).alias("_run")).distinct()
+            held = held.join(keys, F.col(run).eqNullSafe(F.col("_run")), "left_semi")
             old = held.select(run, F.col("text").alias(value), F.col("updated").alias(ts), F.lit(None).cast(given.schema[tie].dataType).alias(tie), "created")
             new = old.unionByName(new)
         out = memory.upsert_noop(memory.indexed(new, run, value, ts, tie), run, value, ts)

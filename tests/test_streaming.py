@@ -19,7 +19,13 @@ def test_folder_table_and_resume(spark, tmp_path):
     batch = lambda df: rows(memory.upsert_noop(memory.indexed(df, "user_id", "event_type", "ts", "event_id"), "user_id", "event_type", "ts"))
     assert half == batch(events.filter(events.ts <= middle))
     assert rows(stream_upsert_noop(spark, folder, base=base)) == half  # nothing new
-    events.filter(events.ts > middle).write.mode("append").parquet(folder)
+    later = events.filter((events.ts > middle) & (events.user_id % 4 == 1))
+    later.write.mode("append").parquet(folder)
+    assert rows(stream_upsert_noop(spark, folder, base=base)) == batch(events.filter((events.ts <= middle) | (events.user_id % 4 == 1)))
+    state = spark.read.parquet(f"{base}/state")
+    last = state.filter(state.batch == state.selectExpr("max(batch) AS b").first().b)
+    assert {r.user_id for r in last.collect()} == {r.user_id for r in later.collect()}  # a batch writes its own keys alone
+    events.filter((events.ts > middle) & (events.user_id % 4 != 1)).write.mode("append").parquet(folder)
     assert rows(stream_upsert_noop(spark, folder, base=base)) == batch(events)
 
 
