@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import os
 import pickle
 import tempfile
 from collections.abc import Iterator
@@ -37,8 +38,9 @@ _LANES = [f"l{k}" for k in range(4)]
 
 
 class SpillingQueue:
-    """A priority queue of tuples; beyond `most` of them in memory the sorted rest goes to
-    an unnamed scratch file of the task, and is read back in order."""
+    """A priority queue of tuples; beyond `most` of them in memory they go, sorted, to an
+    unnamed scratch file of the task, as Spark's sorts spill, and are read back in order.
+    Nobody else reads it, and a task that is run again makes its own."""
 
     def __init__(self, most: int = QUEUE):
         self.heap: list[tuple] = []
@@ -51,7 +53,8 @@ class SpillingQueue:
             self._spill()
 
     def _spill(self) -> None:
-        file = tempfile.TemporaryFile()
+        # where Spark's own sorts of this task spill to
+        file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
         for item in sorted(self.heap):
             pickle.dump(item, file)
         size, self.heap = len(self.heap), []
