@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType, TimestampNTZType, TimestampType
 
 
 def rewrite(value: Column, schema: DataType, drop: tuple[str, ...] = (), rename: Mapping[str, str] | None = None, replace: Mapping[str, Callable[[Column], Column]] | None = None, path: str = "") -> Column:
@@ -83,8 +83,10 @@ def _canonical(value: Column, schema: DataType) -> Column:
         return null(json_string(value))
     if isinstance(schema, (DoubleType, FloatType)):
         return null(json_number(value.cast("double")))
-    if isinstance(schema, (IntegralType, BooleanType)):
+    if isinstance(schema, (IntegralType, BooleanType, DecimalType)):
         return null(value.cast("string"))
+    if isinstance(schema, (DateType, TimestampType, TimestampNTZType)):  # as texts, in the session's zone
+        return null(json_string(value.cast("string")))
     if isinstance(schema, NullType):
         return F.lit("null")
     raise TypeError(f"{schema.simpleString()} has no JSON form")

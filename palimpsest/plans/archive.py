@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.functions.nested import canonical_json
 from palimpsest.plans.registry import query, table
 from palimpsest.sources import evidence
 from palimpsest.sources.shared import fresh_folder
@@ -55,12 +56,13 @@ def redacted_records(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", evidence.redact(raw, ("authorization", "api_key"), ("sk-42",)).alias("record"))
 
 
-@query("""SELECT o_orderkey, sha256('{"max_tokens":64,"messages":[{"role":"system","content":"Answer."},{"role":"user","content":"' || o_orderpriority || '"}],"model":"' || o_orderstatus || '","seed":null}') AS request_sha256 FROM orders""")
+@query("""SELECT o_orderkey, sha256('{"max_tokens":64,"messages":[{"content":"Answer.","role":"system"},{"content":"' || o_orderpriority || '","role":"user"}],"model":"' || o_orderstatus || '","seed":null}') AS request_sha256 FROM orders""")
 def canonical_requests(spark, sf_dir):
-    """Request bodies with fixed members, as canonical JSON, by their digest."""
+    """Request bodies with fixed members, as canonical JSON at every depth, by their digest."""
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     body = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.lit(64).alias("max_tokens"), F.array(message("system", F.lit("Answer.")), message("user", F.col("o_orderpriority"))).alias("messages"),
         F.col("o_orderstatus").alias("model"), F.lit(None).cast("int").alias("seed"),
     )
-    return body.select("o_orderkey", F.sha2(evidence.canonical("max_tokens", "messages", "model", "seed"), 256).alias("request_sha256"))
+    body = body.select("o_orderkey", F.struct("max_tokens", "messages", "model", "seed").alias("body"))
+    return body.select("o_orderkey", F.sha2(canonical_json(F.col("body"), body.schema["body"].dataType), 256).alias("request_sha256"))

@@ -11,19 +11,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from palimpsest.functions.nested import canonical_json
 from palimpsest.functions.strict import refuse_constant, whole_text
 
 
 def canonical(*columns: str) -> Column:
-    """Compact JSON of columns by name, nulls included."""
+    """Compact JSON of flat columns by name, nulls included (nested ones: canonical_json)."""
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
 def publish(df: DataFrame, path: str, *by: str) -> None:
-    """Write df's other columns as canonical JSON lines, a folder for each value of `by`.
-    Fails where the path exists."""
+    """Write df's other columns as canonical JSON lines (members sorted at every depth), a
+    folder for each value of `by`. Fails where the path exists."""
     rest = [c for c in df.columns if c not in by]
-    df.select(*by, canonical(*rest).alias("value")).write.mode("errorifexists").partitionBy(*by).text(path)
+    whole = F.struct(*rest)
+    df.select(*by, canonical_json(whole, df.select(whole.alias("r")).schema["r"].dataType).alias("value")).write.mode("errorifexists").partitionBy(*by).text(path)
 
 
 def relative_path(spark: SparkSession, root: str, name: Column) -> Column:

@@ -55,3 +55,12 @@ def test_redaction(spark, raw, wanted):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(raw,)], "r string").select(evidence.redact(F.col("r"), ("key",), ("sk-1",)).alias("x")).first().x == wanted
+
+
+def test_nested_members_are_sorted_in_files(spark):
+    from datetime import date
+
+    at = fresh_folder(spark, "nested")
+    rows = spark.createDataFrame([("k", [{"z": 1, "a": None}], date(2024, 1, 2), 2.0)], "k string, n array<struct<z:int,a:string>>, d date, f double")
+    evidence.publish(rows, f"{at}/records", "k")
+    assert [r.value for r in spark.read.text(f"{at}/records").collect()] == ['{"d":"2024-01-02","f":2.0,"n":[{"a":null,"z":1}]}']
