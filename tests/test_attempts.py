@@ -3,10 +3,12 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from palimpsest.operators import attempts, memory, similarity
+from palimpsest.plans.catalogue import ORACLES, QUERIES
 
 
 def test_failures_by_their_first_reason(spark):
@@ -22,6 +24,19 @@ def test_failures_by_their_first_reason(spark):
     assert [d for _, d in got[3:]] == ["INFRASTRUCTURE_OR_API_ERROR", "REFUSAL", "TRUNCATION", "PARSE_FAILURE", "REQUIRED_EMPTY_FIELD_SCHEMA_FAILURE", "SCHEMA_FAILURE", "OTHER_OUTPUT_CONTRACT_FAILURE"]
 
 
+def test_last_attempt_among_lines_that_tie(spark, tmp_path):
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").filter("l_orderkey in (3058, 6150)").collect()
+    con, got = duckdb.connect(), []
+    con.execute("SET threads = 1")  # with more it settles such lines now so, now so
+    con.execute("CREATE VIEW lineitem AS SELECT * FROM '/root/testdata/sf0.01/lineitem.parquet'")
+    for way in (lines, lines[::-1]):
+        path = str(tmp_path / str(len(got)))
+        spark.createDataFrame(way, schema=spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").schema).coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+        got.append(sorted(map(tuple, QUERIES["failure_taxonomy"](spark, path).collect())))
+    want = sorted(r for r in con.execute(ORACLES["failure_taxonomy"]).fetchall() if r[0] in (3058, 6150))
+    assert got[0] == got[1] == want
+
+
 def decide(outcomes, cap):
     if not outcomes:
         return "ATTEMPT"
