@@ -149,7 +149,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.Re
         return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
     size = 0
-    for batch in slices(batches, "text", rows=4096):
+    for batch in slices(batches, "text", rows=4096, size=2 << 20):
         ids, counts = with_end(*enc.encode_column(batch.column("text")), end_id)
         docs, ends, at, before = batch.column("doc_id").to_pylist(), np.cumsum(counts), 0, 0
         while at < len(docs):  # to the first document that fills the block
@@ -185,16 +185,17 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, files: int |
 
 def _from_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            ids = simple8b_decode(np.frombuffer(row["words"], dtype="<u8")).astype("<u4")
-            ends = np.cumsum(row["lengths"])
-            starts = ends - np.asarray(row["lengths"])
+        words, lengths, docs = (batch.column(c) for c in ("words", "lengths", "doc_ids"))
+        for k, file, first in zip(range(batch.num_rows), batch.column("file").to_pylist(), batch.column("first").to_pylist(), strict=True):
+            ids = simple8b_decode(np.frombuffer(words[k].as_buffer(), dtype="<u8")).astype("<u4")  # one block at a time, not copied
+            sizes = lengths[k].values.to_numpy()
+            ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "file": pa.array([row["file"]] * len(ends), pa.int32()),
-                    "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                    "at": pa.array(starts + row["first"], pa.int64()),
-                    "ids": pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                    "file": pa.array([file] * len(ends), pa.int32()),
+                    "doc_id": docs[k].values,
+                    "at": pa.array(ends - sizes + first, pa.int64()),
+                    "ids": pa.array([ids[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)], pa.binary()),
                 }
             )
 

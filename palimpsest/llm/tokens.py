@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,13 @@ import pyarrow.compute as pc
 
 from palimpsest.llm.common import tokenizer_path
 
-#: Pieces, and their ids, that a worker remembers; beyond that the memory starts anew.
-REMEMBERED, REMEMBERED_IDS = 1_000_000, 8_000_000
+#: Pieces, and their ids, that a worker remembers, about; beyond that only those stay that
+#: more than one call has met.
+REMEMBERED, REMEMBERED_IDS = 600_000, 4_800_000
+#: Pieces that are given to the tokenizer at once: what it returns for each takes some 1 kB.
+AT_ONCE = 4096
+#: Words in a text of lines.
+LINES = 128
 #: A longer piece is encoded each time it occurs.
 LONGEST = 64
 
@@ -33,6 +39,10 @@ _ODD = "[\\x{130}\\x{307}\\t\\x0b\\f\\r\\x01\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\
 # marks behind a letter, up to the next cut: they are one token's worth of pattern
 _MARKS = f"(\\p{{L}})([.,;:!?]+)({_CUT}|$)"
 _RUNS = re.compile(r"\s+|\S+")
+# white space but one space before a word
+_SPACES = re.compile(r"(?!^ \S)\s|^$")
+# whether there may be any among lines
+_APART = re.compile(r"[ \n]\n|[^\n] |\n  ")
 
 
 def load(name: str):
@@ -56,42 +66,84 @@ class PieceEncoder:
     def __init__(self, name: str, spaced: bool):
         self.tok, self.spaced = load(name), spaced
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self._forget()
+        if spaced:
+            (self.line,) = self.tok.encode("\n", add_special_tokens=False).ids
+        self._start()
 
     def _forget(self) -> None:
+        """Keep the pieces that more than one call has met, and none where those are too many."""
+        kept = {k: p for k, p in self.known.items() if self.seen[p] > 1}
+        place = np.fromiter(kept.values(), dtype=np.int64, count=len(kept))
+        if 2 * len(kept) > REMEMBERED or 2 * int(self.size[place].sum()) > REMEMBERED_IDS:
+            return self._start()
+        ids = self._gather(place)
+        size, n = self.size[place], len(kept)
+        self._start()
+        self._add(list(kept), ids, size)
+        self.seen[:n] = 1  # to stay once more, a piece is met again
+
+    def _start(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
-        self.start, self.size, self.pieces = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), 0
+        self.start, self.size, self.seen, self.pieces = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32), 0
 
-    def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        total, n = int(sizes.sum()), self.pieces + len(new)
+    def _gather(self, place: np.ndarray) -> np.ndarray:
+        """Ids of the pieces at these places, one after the other."""
+        sizes = self.size[place]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.start[place] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        total, n = len(ids), self.pieces + len(new)
         if self.used + total > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(total, len(self.ids)), dtype="<u4")))
         if n > len(self.start):
-            more = np.zeros(max(len(new), len(self.start)), dtype=np.int64)
-            self.start, self.size = np.concatenate((self.start, more)), np.concatenate((self.size, more))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), dtype="<u4", count=total)
+            more = max(len(new), len(self.start))
+            self.start, self.size, self.seen = (np.concatenate((x, np.zeros(more, dtype=x.dtype))) for x in (self.start, self.size, self.seen))
+        self.ids[self.used : self.used + total] = ids
         self.start[self.pieces : n] = self.used + np.cumsum(sizes) - sizes
         self.size[self.pieces : n] = sizes
         self.known.update(zip(new, range(self.pieces, n), strict=True))
         self.used, self.pieces = self.used + total, n
 
+    def _learn(self, new: list[str]) -> None:
+        if self.spaced:  # words are told to the tokenizer as lines: one result for many of them
+            alone = [k for k in new if _SPACES.search(k)] if _APART.search("\n".join(["", *new, ""])) else []
+            new = list(set(new).difference(alone)) if alone else new
+            for at in range(0, len(new), LINES):
+                some = new[at : at + LINES]
+                ids = np.array(self.tok.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+                ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+                if len(ends) != len(some):
+                    raise ValueError("the tokenizer joins line ends with words")
+                self._add(some, np.delete(ids, ends[:-1]), np.diff(ends, prepend=-1) - 1)
+            new = alone
+        for at in range(0, len(new), AT_ONCE):
+            some = new[at : at + AT_ONCE]
+            got = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+            self._add(some, np.fromiter(chain.from_iterable(got), dtype="<u4", count=int(sizes.sum())), sizes)
+
     def _places(self, keys: list[str]) -> np.ndarray:
         """Where each piece's ids stand, learning those that are new."""
-        found = list(map(self.known.get, keys))
-        if None in found:
-            new = list({k for k, f in zip(keys, found, strict=True) if f is None})
-            if len(self.known) + len(new) > REMEMBERED or self.used > REMEMBERED_IDS:
+        found = self._find(keys)
+        if (found < 0).any():
+            if len(self.known) + int((found < 0).sum()) > REMEMBERED or self.used > REMEMBERED_IDS:
                 self._forget()
-                new = list(set(keys))
+                found = self._find(keys)
+            missing = np.flatnonzero(found < 0).tolist()
+            unknown = [keys[m] for m in missing]
+            new = list(dict.fromkeys(unknown))
             self._learn(new)
-            found = [self.known[k] for k in keys]
+            found[missing] = self._find(unknown)
             for k in new:
                 if len(k) > LONGEST:
                     del self.known[k]
-        return np.array(found, dtype=np.int64)
+        self.seen[found] += 1
+        return found
+
+    def _find(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (unsigned 32-bit) of all texts one after the other, and how many each has.
@@ -108,10 +160,8 @@ class PieceEncoder:
         lists = pc.split_pattern(pc.replace_substring_regex(cut, _MARKS, f"\\1{_CUT}\\2\\3"), _CUT)
         coded = lists.flatten().dictionary_encode()
         place = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
-        sizes, starts = self.size[place], self.start[place]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        at = np.concatenate(([0], ends))[lists.offsets.to_numpy()]
+        ids = self._gather(place)
+        at = np.concatenate(([0], np.cumsum(self.size[place])))[lists.offsets.to_numpy()]
         counts = np.diff(at)
         rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(rows):
@@ -126,8 +176,7 @@ class PieceEncoder:
     def _whole(self, text: str) -> np.ndarray:
         """A text by runs of white space where the rules allow it, else in one piece."""
         if self.spaced and not re.search(r"[^\S \n]|\x01", text) and not any(s in text for s in self.special):
-            place = self._places(self.runs(text))
-            return np.concatenate([np.zeros(0, dtype="<u4"), *[self.ids[self.start[p] : self.start[p] + self.size[p]] for p in place]])
+            return self._gather(self._places(self.runs(text)))
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     @staticmethod
