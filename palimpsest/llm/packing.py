@@ -165,6 +165,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], end_id: int, capacity: in
             for at in range(0, len(windows), WINDOWS):
                 yield rows(windows[at : at + WINDOWS])
     windows, rest = pack(pool, capacity)
+    enc.release()
     yield rows(windows + cut_at_powers(rest))
 
 

@@ -87,6 +87,12 @@ class PieceEncoder:
         self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
         self.start, self.size, self.seen, self.pieces = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32), 0
 
+    def release(self) -> None:
+        """Forget all pieces: a worker outlives its tasks, and what it holds stays beside those
+        of other queries."""
+        self._start()
+        pa.default_memory_pool().release_unused()
+
     def _gather(self, place: np.ndarray) -> np.ndarray:
         """Ids of the pieces at these places, one after the other."""
         sizes = self.size[place]

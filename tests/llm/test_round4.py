@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from palimpsest.llm import token_files, tokens
+from palimpsest.llm import packing, token_files, tokens
 
 
 def test_a_worker_remembers_what_it_meets_again(monkeypatch):
@@ -64,3 +64,19 @@ def test_blocks_are_read_one_at_a_time(monkeypatch):
     got = [r for x in token_files._from_blocks(iter([Columns()])) for r in x.to_pylist()]
     want = [{"file": 1, "doc_id": d, "at": 8 * b + at, "ids": i.astype("<u4").tobytes()} for b in range(3) for d, at, i in ((b, 0, ids[0]), (None, 5, ids[1]))]
     assert got == want
+
+
+def test_packing_leaves_no_pieces_in_its_worker(monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    class Context:
+        get, partitionId = classmethod(lambda cls: cls), staticmethod(lambda: 0)
+
+    monkeypatch.setattr(pyspark, "TaskContext", Context)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [" ".join(f"word{k}" for k in range(3000)), "a b"]})
+    for _ in range(2):  # and the next task learns anew
+        rows = [r for x in packing._pack_partition(iter([batch]), 1, 2048) for r in x.to_pylist()]
+        ids = b"".join(r["ids"] for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == 1)
+        assert np.frombuffer(ids, "<u4").tolist() == [*tokens.word_bpe().tok.encode(batch.column("text")[0].as_py(), add_special_tokens=False).ids, 1]
+        assert not tokens.word_bpe().known
