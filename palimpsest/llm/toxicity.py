@@ -189,6 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     # (a repeated id counts once; a text is toxic if one of its documents is)
     texts = keys.groupBy("doc_id").agg(F.min(F.struct("_text", "_lang")).alias("k"), F.max("toxic").alias("toxic"))
     texts = texts.groupBy("k._text").agg(F.max("toxic").alias("toxic"), F.min("k._lang").alias("_lang"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    # a few numbers for each labelled text, read by the counts and by each language's choice
+    texts = stage(texts, "labelled")
     found = {(r["toxic"], r["_lang"]): (r["texts"], r["n"]) for r in texts.groupBy("toxic", "_lang").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).collect()}
     number_of = {t: sum(n for (c, _), (_, n) in found.items() if c == t) for t in (0, 1)}
     parts = []

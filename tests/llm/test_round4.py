@@ -80,3 +80,41 @@ def test_packing_leaves_no_pieces_in_its_worker(monkeypatch):
         ids = b"".join(r["ids"] for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == 1)
         assert np.frombuffer(ids, "<u4").tolist() == [*tokens.word_bpe().tok.encode(batch.column("text")[0].as_py(), add_special_tokens=False).ids, 1]
         assert not tokens.word_bpe().known
+
+
+def test_stars_take_no_round_and_a_path_few(spark, monkeypatch):
+    from palimpsest.llm import common
+
+    written, write = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df, name, path=None: written.append(name) or write(df, name, path))
+    for edges, most in (([(5, 1), (1, 7), (9, 2), (9, 2), (4, 4), (None, 3)], 1), ([(k, k + 1) for k in range(12)], 6), ([(3, 1), (3, 2)], 3), ([], 1)):
+        written.clear()
+        root = {n: n for e in edges for n in e if None not in e and e[0] != e[1]}
+        for _ in root:
+            for a, b in (e for e in edges if e[0] in root and e[1] in root and e[0] != e[1]):
+                root[a] = root[b] = min(root[a], root[b])
+        got = common.connected_components(spark.createDataFrame(edges, "a long, b long"))
+        assert sorted(map(tuple, got.collect())) == sorted(root.items())
+        assert len(written) <= most
+
+
+def test_labelled_texts_are_made_once(spark, monkeypatch):
+    import contextlib
+    import io
+
+    from palimpsest.llm import toxicity
+
+    plans, write = [], toxicity.stage
+
+    def kept(df, name):
+        with contextlib.redirect_stdout(out := io.StringIO()):
+            df.explain()
+        plans.append(out.getvalue())
+        return write(df, name)
+
+    monkeypatch.setattr(toxicity, "stage", kept)
+    docs = [(k, f"text {k} " + ("bad" if k % 3 == 0 else "fine"), "de" if k % 2 else "en") for k in range(60)]
+    chain = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int"))
+    assert max(p.count("SortMergeJoin") for p in plans) == 1
+    p = chain.predict([toxicity.features("bad text"), toxicity.features("fine text")])
+    assert p[0, -1] > 0.9 and p[1, -1] < 0.1
