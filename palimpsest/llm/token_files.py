@@ -67,13 +67,12 @@ def simple8b_encode(ids: np.ndarray) -> np.ndarray:
         room = n - c + 1
         stretch = np.maximum(widest[k][:room], widest[k][c - (1 << k) :][:room])
         np.copyto(choice[:room], s, where=stretch <= max(s, 1))
-    step = np.array([*COUNTS, 1])[choice]
-    starts, at, then = [], 0, (np.arange(n) + step).tolist()
-    add = starts.append
+    # a byte a step: reading one makes no new number
+    steps, taken, at = np.array([*COUNTS, 1], dtype=np.uint8)[choice].tobytes(), bytearray(n), 0
     while at < n:
-        add(at)
-        at = then[at]
-    starts = np.asarray(starts)
+        taken[at] = 1
+        at += steps[at]
+    starts = np.flatnonzero(np.frombuffer(taken, dtype=np.uint8))
     sel = choice[starts].astype(np.int64)
     value = ids[starts]
     tail = (sel == 15) & (value < np.uint64(1 << 32))  # short escape: the id in the word itself
@@ -82,12 +81,12 @@ def simple8b_encode(ids: np.ndarray) -> np.ndarray:
     out = np.zeros(int(sizes.sum()), dtype=np.uint64)
     out[where] = sel.astype(np.uint64) << np.uint64(60)
     for s in range(2, 15):
-        at = starts[sel == s]
-        if len(at):
-            word = np.zeros(len(at), dtype=np.uint64)
+        mine = np.flatnonzero(sel == s)
+        if len(mine):
+            at, word = starts[mine], np.zeros(len(mine), dtype=np.uint64)
             for j in range(COUNTS[s]):
                 word |= ids[at + j] << np.uint64(j * BITS[s])
-            out[where[sel == s]] |= word
+            out[where[mine]] |= word
     out[where[tail]] |= np.uint64(1) | (value[tail] << np.uint64(4))
     long = (sel == 15) & ~tail
     out[where[long] + 1] = value[long]

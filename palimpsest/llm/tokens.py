@@ -66,6 +66,8 @@ class PieceEncoder:
     def __init__(self, name: str, spaced: bool):
         self.tok, self.spaced = load(name), spaced
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        # one pass over a text finds all that the cuts do not hold for
+        self.odd = "|".join([_ODD, *map(re.escape, self.special), *(["[ \n][ \n]"] if spaced else [])])
         if spaced:
             (self.line,) = self.tok.encode("\n", add_special_tokens=False).ids
         self._start()
@@ -116,13 +118,16 @@ class PieceEncoder:
         if self.spaced:  # words are told to the tokenizer as lines: one result for many of them
             alone = [k for k in new if _SPACES.search(k)] if _APART.search("\n".join(["", *new, ""])) else []
             new = list(set(new).difference(alone)) if alone else new
-            for at in range(0, len(new), LINES):
-                some = new[at : at + LINES]
-                ids = np.array(self.tok.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-                ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            for at in range(0, len(new), AT_ONCE):
+                some = new[at : at + AT_ONCE]
+                texts = ("\n".join([*some[k : k + LINES], ""]) for k in range(0, len(some), LINES))
+                got = [self.tok.encode_batch_fast([t], add_special_tokens=False)[0].ids for t in texts]
+                ids = np.fromiter(chain.from_iterable(got), dtype="<u4", count=sum(map(len, got)))
+                line = ids == self.line
+                ends = np.flatnonzero(line)
                 if len(ends) != len(some):
                     raise ValueError("the tokenizer joins line ends with words")
-                self._add(some, np.delete(ids, ends[:-1]), np.diff(ends, prepend=-1) - 1)
+                self._add(some, ids[~line], np.diff(ends, prepend=-1) - 1)
             new = alone
         for at in range(0, len(new), AT_ONCE):
             some = new[at : at + AT_ONCE]
@@ -155,9 +160,7 @@ class PieceEncoder:
         """Ids (unsigned 32-bit) of all texts one after the other, and how many each has.
         A null text counts as empty."""
         text = pc.fill_null(column, "")
-        odd = pc.match_substring_regex(text, _ODD)
-        for s in [*self.special, *(["  ", " \n", "\n ", "\n\n"] if self.spaced else [])]:
-            odd = pc.or_(odd, pc.match_substring(text, s))
+        odd = pc.match_substring_regex(text, self.odd)
         plain = pc.if_else(odd, "", text)
         if self.spaced:
             cut = pc.replace_substring(pc.replace_substring(plain, " ", f"{_CUT} "), "\n", f"{_CUT}\n{_CUT}")

@@ -118,3 +118,14 @@ def test_labelled_texts_are_made_once(spark, monkeypatch):
     assert max(p.count("SortMergeJoin") for p in plans) == 1
     p = chain.predict([toxicity.features("bad text"), toxicity.features("fine text")])
     assert p[0, -1] > 0.9 and p[1, -1] < 0.1
+
+
+def test_new_pieces_are_learned_in_few_passes(monkeypatch):
+    enc = tokens.PieceEncoder("byte_bpe_50k.json", True)
+    lots, add, searched, search = [], enc._add, [], tokens.pc.match_substring_regex
+    monkeypatch.setattr(enc, "_add", lambda some, ids, sizes: lots.append(len(some)) or add(some, ids, sizes))
+    monkeypatch.setattr(tokens.pc, "match_substring_regex", lambda *a, **b: searched.append("regex") or search(*a, **b))
+    monkeypatch.setattr(tokens.pc, "match_substring", lambda *a, **b: 1 / 0)
+    texts = [" ".join(f"w{k * 7919 % 100003}" for k in range(10_000)), "a  b", "a\n\nb c", " \n x ", "\n y<|endoftext|> z", "end\n", "a\n b \nc", ""]
+    assert [g.tolist() for g in enc.encode(texts)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(lots) <= tokens.AT_ONCE and len([n for n in lots if n > 100]) == 3 and searched == ["regex"]
