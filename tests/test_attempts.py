@@ -64,6 +64,16 @@ def test_units(spark):
         assert got[u] == (len(done), decide(done, 2))
 
 
+def test_units_whose_attempts_tie(spark, tmp_path):
+    cols = "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string"
+    lines = [(1, 2, 7, "A", "F"), (1, 2, 7, "R", "F"), (2, 1, 5, "R", "O"), (2, 1, 5, "N", "F"), (2, 1, 5, "A", "F"), (3, 1, 5, "R", "F"), (3, 1, 6, "R", "F"), (3, 1, 6, "N", "O"), (3, 1, 6, "N", "O")]
+    for k, way in enumerate((lines, lines[::-1])):
+        spark.createDataFrame(way, cols).coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        assert sorted(map(tuple, QUERIES["unit_decision"](spark, f"{tmp_path}/{k}").collect())) == [
+            (1, 2, "ACCEPT", "ACCEPT"), (2, 2, "STOP_FOR_RESEARCHER", "INVALID_HISTORY"), (3, 3, "ACCEPT_WITH_PROVENANCE_AWARE_SURFACE_EDIT_OPTION", "INVALID_HISTORY"),
+        ]
+
+
 def test_accounting_counts_unknown_usage_of_retries_alone(spark):
     usage = lambda p, c: {"prompt_tokens": p, "completion_tokens": c}
     rows = [
