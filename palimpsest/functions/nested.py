@@ -45,22 +45,45 @@ def json_string(text: Column) -> Column:
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once, however often it is used: inside a lambda
+    Spark computes each use anew."""
+    return F.transform(F.array(value), then)[0]
+
+
 def json_number(x: Column) -> Column:
     """The shortest decimal that reads back as the same double: plain for exponents from -4 to
-    15, else with an exponent of two digits or more. What is not finite is no JSON: an error."""
+    15, else with an exponent of two digits or more. What is not finite is no JSON: an error.
+
+    Java's text of a double reads back, but may have a digit too many. Decimals of 15 digits
+    never share a double, so one of no more digits is the only one, and the shortest."""
+    short = lambda t: (F.char_length(t) <= 16) & ~t.contains("E") & (t.endswith(".0") | ~t.endswith("0"))
+    said = _let(x.cast("string"), lambda t: F.when(short(t), t).otherwise(_let(_shortest(x), _spelt)))
+    finite = F.abs(x) < float("inf")
+    return F.when(x.isNull(), F.lit(None)).when(finite, said).otherwise(F.raise_error(F.lit("a number is not finite")).cast("string"))
+
+
+def _shortest(x: Column) -> Column:
+    """The shortest decimal in scientific form, perhaps with zeros at its end. Of 15 digits
+    or fewer there is one at most, which 15 digits show; doubles near 0 hold fewer."""
     tried = [F.format_string(f"%.{p}e", x) for p in range(17)]
-    shortest = F.coalesce(*[F.when(t.cast("double") == x, t) for t in tried[:-1]], tried[-1])
-    digits = F.replace(F.ltrim(F.substring_index(shortest, "e", 1), F.lit("-")), F.lit("."), F.lit(""))
-    exponent = F.substring_index(shortest, "e", -1).cast("int")
-    sign = F.when(F.substring(shortest, 1, 1) == "-", "-").otherwise("")
+    first = lambda some: F.coalesce(*[F.when(t.cast("double") == x, t) for t in some], tried[-1])
+    return F.when(F.abs(x) < 2.2250738585072014e-308, first(tried[:-1])).otherwise(first(tried[14:-1]))
+
+
+def _spelt(shortest: Column) -> Column:
+    digits = F.rtrim(F.replace(F.ltrim(F.substring_index(shortest, "e", 1), F.lit("-")), F.lit("."), F.lit("")), F.lit("0"))
+    parts = F.struct(F.when(digits == "", "0").otherwise(digits).alias("digits"), F.substring_index(shortest, "e", -1).cast("int").alias("exponent"), F.when(shortest.startswith("-"), "-").otherwise("").alias("sign"))
+    return _let(parts, lambda p: _placed(p["sign"], p["digits"], p["exponent"]))
+
+
+def _placed(sign: Column, digits: Column, exponent: Column) -> Column:
     n = F.char_length(digits)
     whole = F.concat(F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0")), F.lit("."), F.when(n > exponent + 1, F.substring(digits, exponent + 2, n)).otherwise("0"))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
     mantissa = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""))
     scientific = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.char_length(F.abs(exponent).cast("string"))), F.lit("0")))
-    said = F.concat(sign, F.when((exponent >= 0) & (exponent < 16), whole).when((exponent < 0) & (exponent >= -4), small).otherwise(scientific))
-    finite = F.abs(x) < float("inf")
-    return F.when(x.isNull(), F.lit(None)).when(finite, said).otherwise(F.raise_error(F.lit("a number is not finite")).cast("string"))
+    return F.concat(sign, F.when((exponent >= 0) & (exponent < 16), whole).when((exponent < 0) & (exponent >= -4), small).otherwise(scientific))
 
 
 def canonical_json(value: Column, schema: DataType) -> Column:

@@ -41,6 +41,13 @@ def test_numbers_are_written_as_python_does(spark):
         spark.createDataFrame([(math.inf,)], "x double").select(json_number(F.col("x"))).collect()
 
 
+def test_a_number_is_worked_out_once(spark):
+    df = spark.createDataFrame([([1.5, 0.1 + 0.2, 1e300, 2.0e-3, -12345678.25],)], "x array<double>")
+    made = df.select(F.array_join(F.transform("x", json_number), " ").alias("s"))
+    assert made._jdf.queryExecution().analyzed().toString().count("format_string") < 50  # each use within a lambda is a call of its own
+    assert made.first().s == "1.5 0.30000000000000004 1e+300 0.002 -12345678.25"
+
+
 SCHEMA = "z string, a struct<y:double,b:array<struct<q:string,c:bigint>>>, m map<string,boolean>, n array<array<float>>"
 
 
