@@ -70,11 +70,23 @@ def versions(events: DataFrame, run: str, key: str, value: str, order: str) -> D
     return df.select(run, key, value, "created", F.col(order).alias("since"), F.lead(order).over(by).alias("until"))
 
 
-def state_at(states: DataFrame, probes: DataFrame, run: str, at: str) -> DataFrame:
+def state_at(states: DataFrame, probes: DataFrame, run: str, at: str, key: str = "key") -> DataFrame:
     """probes' columns with (key, value, created, since) of each entry of the state after the
-    event `at` of its run. Rows of states that a probe cannot see are left out by range."""
-    inside = (F.col("since") <= F.col(at)) & (F.col("until").isNull() | (F.col(at) < F.col("until")))
-    return probes.join(states, run).filter(inside).drop("until")
+    event `at` of its run; the ranges of a key do not overlap.
+
+    A probe meets the keys of its run that are born, not their changes: it is sorted in among
+    the changes of each and takes the last one before it, if that still holds. So the work is
+    that of sorting the changes and the result's rows."""
+    held, asked = [c for c in states.columns if c not in (run, key)], probes.columns
+    changes = states.filter(F.col("since").isNotNull())
+    born = changes.groupBy(run, key).agg(F.min("since").alias("_born"))
+    probe = F.struct(*asked).alias("_p")
+    wanted = probes.join(born, run).filter(F.col("_born") <= F.col(at)).select(run, key, F.col(at).alias("_at"), probe)
+    both = changes.select(run, key, F.col("since").alias("_at"), F.struct(*held).alias("_s")).unionByName(wanted, allowMissingColumns=True)
+    by = Window.partitionBy(run, key).orderBy("_at", F.col("_p").isNotNull(), F.col("_s.until").asc_nulls_last())
+    last = both.withColumn("_s", F.last("_s", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))).filter("_p is not null")
+    inside = last.filter(F.col("_s.until").isNull() | (F.col("_at") < F.col("_s.until")))
+    return inside.select(*[F.col("_p")[c].alias(c) for c in asked], key, *[F.col("_s")[c].alias(c) for c in held if c != "until"])
 
 
 def state_sizes(states: DataFrame, run: str, size: Column, at: str = "at") -> DataFrame:

@@ -107,6 +107,18 @@ def test_states_are_joined_from_changes(spark):
     assert states.count() == changes == len(sizes)  # as many rows as changes
 
 
+def test_probes_do_not_meet_the_changes_of_a_run(spark):
+    states = [("r", "a", 1, 0, 0, 5), ("r", "a", 2, 0, 5, 5), ("r", "a", None, 0, 5, 9), ("r", None, 7, 3, 3, None), ("r", "late", 8, 8, 8, None), ("s", "a", 9, 1, 1, 2), ("r", "no", 1, None, None, 4), (None, "a", 1, 0, 0, None)]
+    s = spark.createDataFrame(states, "run string, key string, value int, created int, since int, until int")
+    p = spark.createDataFrame([("r", 0, "x"), ("r", 5, "y"), ("r", 5, "y"), ("r", 8, None), ("r", 12, "z"), ("s", 1, "x"), ("s", 2, "x"), ("r", None, "x"), (None, 3, "x"), ("t", 3, "x")], "run string, at int, note string")
+    got = memory.state_at(s, p, "run", "at")
+    assert got.columns == ["run", "at", "note", "key", "value", "created", "since"]
+    want = [(*q, *v[1:5]) for q in p.collect() for v in states if None not in (q[0], q[1], v[4]) and q[0] == v[0] and v[4] <= q[1] and (v[5] is None or q[1] < v[5])]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) == 11
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("since" in line for line in joins)
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "QUERY_BYTES", 8 * 4 * 4)  # four queries at once
     rng = np.random.default_rng(2)
