@@ -40,13 +40,13 @@ def checked_snapshot(spark, sf_dir):
     return snapshots.read(spark, base)
 
 
-_FILES = "SELECT CAST(l_suppkey AS BIGINT) AS chain, CAST(l_linenumber AS BIGINT) AS attempt, concat(l_orderkey, '-', l_partkey) AS path, sha2(concat(l_orderkey, ':', l_partkey), 256) AS sha256 FROM {lines}"
-
-
 def _closed(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_orderkey", "l_partkey").distinct()
-    files = spark.sql(_FILES, lines=lines)
-    tries = files.select("chain", "attempt").distinct().withColumn("plan", F.sha2(F.col("chain").cast("string"), 256)).withColumn("status", F.lit("CLOSED_INCOMPLETE"))
+    """Files, tries and closures; lines are shuffled as their numbers, texts are made behind."""
+    ids = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("chain"), F.col("l_linenumber").cast("bigint").alias("attempt"), "l_orderkey", "l_partkey")
+    path = F.concat("l_orderkey", F.lit("-"), "l_partkey")
+    lines = closures.dealt(ids, path).distinct()
+    files = lines.select("chain", "attempt", "_deal", path.alias("path"), F.sha2(F.concat("l_orderkey", F.lit(":"), "l_partkey"), 256).alias("sha256"))
+    tries = lines.select("chain", "attempt").distinct().withColumn("plan", F.sha2(F.col("chain").cast("string"), 256)).withColumn("status", F.lit("CLOSED_INCOMPLETE"))
     return files, tries, closures.close(tries, files)
 
 

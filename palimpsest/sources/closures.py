@@ -15,16 +15,40 @@ from pyspark.sql import functions as F
 FIELDS = ("attempt", "evidence", "plan", "predecessor", "status")
 #: Predecessor of the first attempt.
 START = "0" * 64
+#: Groups of attempts whose rows are counted, and rows of a group whose attempts are large.
+GROUPS, LARGE = 1 << 16, 1 << 20
+
+
+def dealt(rows: DataFrame, path: str | Column = "path") -> DataFrame:
+    """rows (chain, attempt, and whatever paths and digests are made of) in the partitions that
+    evidence_digests needs, with `_deal`: an attempt's rows are in one, large ones' in one for
+    each of their 256 parts. What is made of the rows behind this is not shuffled.
+
+    Which are large is told by the count of a group of attempts, so it may take in small ones."""
+    group = F.pmod(F.xxhash64("chain", "attempt"), F.lit(GROUPS)).alias("_group")
+    large = rows.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > LARGE).select("_group")
+    held = F.coalesce(F.array_contains(large.agg(F.collect_list("_group").alias("a")).scalar(), group), F.lit(False))
+    path = F.col(path) if isinstance(path, str) else path
+    return rows.withColumn("_deal", F.when(held, _part(path)).otherwise("")).repartition("chain", "attempt", "_deal")
+
+
+def _part(path: Column) -> Column:
+    return F.substring(F.sha2(path, 256), 1, 2)
 
 
 def evidence_digests(files: DataFrame) -> DataFrame:
     """(chain, attempt, evidence) of files (chain, attempt, path, sha256): the digest of the
     digests of 256 parts of each attempt's lines, so that no task holds a large attempt
-    whole."""
-    line = F.concat_ws("  ", "sha256", "path")
-    lines = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
-    parts = files.groupBy("chain", "attempt", F.substring(F.sha2("path", 256), 1, 2).alias("part")).agg(lines(line).alias("sha"))
-    return parts.groupBy("chain", "attempt").agg(lines(F.concat("part", "sha")).alias("evidence"))
+    whole. Files that are `dealt` already are not shuffled again."""
+    files = files if "_deal" in files.columns else dealt(files)
+    lines = lambda c: F.sha2(F.array_join(F.array_sort(c), "\n"), 256)
+    keys = ["chain", "attempt", "_deal"]
+    parts = files.groupBy(*keys, _part(F.col("path")).alias("part")).agg(lines(F.collect_list(F.concat_ws("  ", "sha256", "path"))).alias("sha"))
+    # an attempt of one deal is digested where it lies, of others their parts meet
+    own = parts.groupBy(*keys).agg(F.collect_list(F.concat("part", "sha")).alias("_parts"))
+    own = own.select("chain", "attempt", F.when(F.col("_deal") == "", lines("_parts")).alias("_whole"), F.when(F.col("_deal") != "", F.col("_parts")).alias("_parts"))
+    met = own.groupBy("chain", "attempt").agg(F.max("_whole").alias("_whole"), F.flatten(F.collect_list("_parts")).alias("_parts"))
+    return met.select("chain", "attempt", F.coalesce("_whole", lines("_parts")).alias("evidence"))
 
 
 def _text(attempt: Column, evidence: Column, plan: Column, predecessor: Column, status: Column) -> Column:

@@ -101,3 +101,26 @@ def test_a_changed_link_is_named_and_what_follows_refused(chain):
     assert found(closed.filter("attempt <> 2"), files, plan) == {1: "verified", 3: "predecessor_changed", 4: "refused", 5: "refused"}
     more = files.unionByName(files.limit(1).selectExpr("chain", "4L AS attempt", "path", "sha256"))
     assert found(closed, more, plan) == {1: "verified", 2: "verified", 3: "verified", 4: "evidence_drifted", 5: "refused"}
+
+
+def test_digests_of_dealt_lines(spark, monkeypatch):
+    ids = spark.createDataFrame([(c, a, c * 1000 + k) for c in range(3) for a in (1, 2) for k in range(5 + 300 * c * (a - 1))] * 2, "chain long, attempt long, id long").repartition(5)
+    want = {}
+    for c in range(3):
+        for a in (1, 2):
+            parts = {}
+            for k in range(5 + 300 * c * (a - 1)):
+                path = f"p-{c * 1000 + k}"
+                parts.setdefault(hashlib.sha256(path.encode()).hexdigest()[:2], []).append(f"{hashlib.sha256(str(c * 1000 + k).encode()).hexdigest()}  {path}")
+            sha = sorted(p + hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest() for p, lines in parts.items())
+            want[c, a] = hashlib.sha256("\n".join(sha).encode()).hexdigest()
+    path = F.concat(F.lit("p-"), "id")
+    for groups, large in ((1 << 16, 1 << 20), (1 << 16, 100), (1, 1)):  # no attempt is large, some are, all are
+        monkeypatch.setattr(closures, "GROUPS", groups)
+        monkeypatch.setattr(closures, "LARGE", large)
+        files = closures.dealt(ids, path).distinct().select("chain", "attempt", "_deal", path.alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
+        for f in (files, files.drop("_deal")):
+            assert {(r.chain, r.attempt): r.evidence for r in closures.evidence_digests(f).collect()} == want
+    plan = closures.evidence_digests(files)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(moved) == 2 and not any("part#" in line for line in moved)  # numbers, then what is left of each deal
